@@ -1,0 +1,5 @@
+"""Incremental runs.
+
+The original workload is batch only: it has no stream source, watermark, window
+or state. Nothing here adds a streaming operator.
+"""
