@@ -28,6 +28,7 @@ from varloom.operators import context as ctx_ops
 from varloom.operators import fit as fit_ops
 from varloom.operators import mapping, metrics, missense, phenotypes, split, variants, variation
 from varloom.plans import sinks
+from varloom.session import stage
 from varloom.sources import parquet as pq_src
 from varloom.sources import text
 
@@ -82,10 +83,13 @@ def ml_frame(
     ratios: Sequence[float] = SPLIT_RATIOS,
     seed: int = SPLIT_SEED,
     n: int = MAX_SEQUENCE_LENGTH,
+    staged: bool = True,
 ) -> DataFrame:
     """JOB6 (sparse form): rows, ``split`` and ``context_positions``."""
     rows = phenotypes.ml_rows(full, n)
     parts = split.assign_split(rows, key=split_key, ratios=ratios, seed=seed)
+    # The context reads these rows twice (aggregate and join back): compute them once.
+    parts = stage(parts, "ml_rows") if staged else parts
     return ctx_ops.context_positions(parts, scope=scope)
 
 
@@ -104,7 +108,7 @@ def fit_and_select_frame(
     """JOB8: second-level split of the training rows, random search, best trial flagged."""
     train = ml_rows.filter(F.col("split") == "train")
     fit_parts = split.assign_two_way(train, seed=seed)
-    feats = fit_ops.with_features(fit_parts, n)
+    feats = stage(fit_ops.with_features(fit_parts, n), "fit_features")
     return fit_ops.search(
         feats.filter(F.col("fit_split") == "train"),
         feats.filter(F.col("fit_split") == "val"),

@@ -21,7 +21,7 @@ from varloom.operators import context as ctx_ops
 from varloom.operators import fit as fit_ops
 from varloom.operators import mapping, metrics, missense, phenotypes, split, variants, variation
 from varloom.plans import jobs, sinks
-from varloom.session import shared_path
+from varloom.session import shared_path, stage
 from varloom.sources import fixtures, text
 
 # ---------------------------------------------------------------------------
@@ -65,6 +65,11 @@ def _split_rows(spark, sf):
     return split.assign_split(_ml_rows(spark, sf))
 
 
+def _staged_split_rows(spark, sf):
+    """Split rows written once, for queries that read them in two branches."""
+    return stage(_split_rows(spark, sf), "ml_rows")
+
+
 def _scored(spark, sf):
     return metrics.score_rows(_fx(spark, sf, "fx_scores"))
 
@@ -230,7 +235,7 @@ def shuffled_rows(spark, sf):
 
 
 def _context(spark, sf, scope):
-    out = ctx_ops.context_positions(_split_rows(spark, sf), scope=scope)
+    out = ctx_ops.context_positions(_staged_split_rows(spark, sf), scope=scope)
     return out.withColumns(
         {
             "n_context": F.size("context_positions").cast("long"),
@@ -259,7 +264,7 @@ def mutation_vector(spark, sf):
 
 
 def context_vector(spark, sf):
-    rows = ctx_ops.context_positions(_split_rows(spark, sf))
+    rows = ctx_ops.context_positions(_staged_split_rows(spark, sf))
     dense = vectors.context_dense(F.col("context_positions"))
     return rows.select(*ML_KEY_COLUMNS, "split", dense.alias("v")).select(
         *ML_KEY_COLUMNS, "split",
@@ -341,7 +346,7 @@ def best_trial_accuracy(spark, sf):
 
 def fit_logistic(spark, sf):
     """Fit on the training part of the ML table, report every part."""
-    rows = fit_ops.with_features(jobs.ml_frame(_full(spark, sf)))
+    rows = stage(fit_ops.with_features(jobs.ml_frame(_full(spark, sf))), "fit_features")
     return fit_ops.fit_and_score(rows.filter(F.col("split") == "train"), rows, by=["split"])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varloom.constants import MAX_SEQUENCE_LENGTH, MODEL_SIDE_NAMES
+from varloom.constants import MAX_SEQUENCE_LENGTH, ML_KEY_COLUMNS, MODEL_SIDE_NAMES
 from varloom.functions.sequence import position_index
 from varloom.functions.vectors import context_dense, mutation_dense
 
@@ -49,13 +49,30 @@ def pad_vector(col: str, width: int, element_type: str) -> Column:
     return F.concat(c, F.array_repeat(F.lit(0).cast(element_type), missing))
 
 
+def dense_partitions(spark: SparkSession) -> int:
+    """Task count for the dense sink: at least the shuffle width and the core count."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(shuffle, spark.sparkContext.defaultParallelism)
+
+
 def write_ml_table(
     rows: DataFrame,
     path: str,
     n: int = MAX_SEQUENCE_LENGTH,
     dense: bool = True,
     split_col: str = "split",
+    partitions: int | None = None,
 ) -> None:
-    """One partitioned write for all parts; readers prune on ``split``."""
-    out = with_dense_vectors(rows, n) if dense else rows
+    """One partitioned write for all parts; readers prune on ``split``.
+
+    Densifying grows a row ~``8n`` bytes, while the sparse input's partition
+    count was sized (and coalesced by adaptive execution) for the sparse
+    rows; so the sparse rows are first hash-spread on their key (unique within
+    a part, hence balanced) over ``partitions`` tasks, then expanded.
+    """
+    if dense:
+        width = partitions or dense_partitions(rows.sparkSession)
+        out = with_dense_vectors(rows.repartition(width, *ML_KEY_COLUMNS), n)
+    else:
+        out = rows
     write_parquet(out, path, partition_by=[split_col])
