@@ -34,8 +34,10 @@ def transcript_map(accessions: DataFrame, statuses=ACCESSION_STATUSES, missing:
 
 def restrict_to_ids(variants: DataFrame, ids: DataFrame, key: str = "VariationID") -> DataFrame:
     """Variants whose id occurs in ``ids``. A semi join: ids repeated in the
-    VCF do not multiply variant rows."""
-    return variants.join(ids.select(key), on=key, how="left_semi")
+    VCF do not multiply variant rows. The ids are made distinct first, which
+    combines map-side, so an id repeated in a third of the file ships once per
+    map task rather than to one reducer in full."""
+    return variants.join(ids.select(key).distinct(), on=key, how="left_semi")
 
 
 def _unversioned(c: Column) -> Column:
