@@ -60,3 +60,18 @@ def test_model_side_names(spark):
     row = out.first()
     assert out.columns == ["POS_vector", "Patho_Vector", "ClinSigSimple"]
     assert list(row["POS_vector"]) == [1.0, 0.0, 0.0, 0.0]
+
+
+def test_cli_etl_and_score(spark, tmp_path):
+    from varloom.plans import cli
+
+    d = _inputs(spark, tmp_path)
+    rc = cli.main(["etl", "--variant-summary", f"{d}/variant_summary", "--vcf", f"{d}/clinvar_vcf",
+                   "--gene2accession", f"{d}/gene2accession", "--fasta", f"{d}/protein_faa",
+                   "--out-dir", f"{d}/out", "--prepare-ml-dataset", "--sparse", "--context-scope", "from_train"])
+    assert rc == 0
+    ml = spark.read.parquet(f"{d}/out/ml.parquet")
+    assert "context_positions" in ml.columns and ml.count() > 0
+    q._fx(spark, SF_SMALL, "fx_scores").write.parquet(f"{d}/scores")
+    assert cli.main(["score", "--scores", f"{d}/scores", "--by", "model", "split", "--out", f"{d}/report"]) == 0
+    assert spark.read.parquet(f"{d}/report").count() == 12
