@@ -75,3 +75,24 @@ def test_cli_etl_and_score(spark, tmp_path):
     q._fx(spark, SF_SMALL, "fx_scores").write.parquet(f"{d}/scores")
     assert cli.main(["score", "--scores", f"{d}/scores", "--by", "model", "split", "--out", f"{d}/report"]) == 0
     assert spark.read.parquet(f"{d}/report").count() == 12
+
+
+def test_write_returns_observed_row_count(spark, tmp_path):
+    from varloom.plans import sinks
+
+    df = q._fx(spark, SF_SMALL, "fx_gene2accession")
+    assert sinks.write_parquet(df, str(tmp_path / "g")) == df.count()
+
+
+def test_read_features_projects_and_prunes(spark, tmp_path):
+    from varloom.plans import sinks
+    from varloom.sources.parquet import read_features
+
+    path = str(tmp_path / "ml")
+    sinks.write_ml_table(jobs.ml_frame(q._full(spark, SF_SMALL)), path, dense=False)
+    df = read_features(spark, path, ["position", "context_positions"], "is_pathogenic", splits=["test"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert df.columns == ["position", "context_positions", "is_pathogenic"]
+    assert "ReadSchema: struct<position:string,context_positions:array<int>,is_pathogenic:int>" in plan
+    assert "PartitionFilters: [isnotnull(split" in plan
+    assert df.count() == spark.read.parquet(path).filter("split = 'test'").count()

@@ -8,6 +8,7 @@ lost executor would otherwise have to recompute.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,8 @@ from varloom.session import stage
 from varloom.sources import parquet as pq_src
 from varloom.sources import text
 
+log = logging.getLogger("varloom")
+
 # ---------------------------------------------------------------------------
 # DataFrame compositions
 # ---------------------------------------------------------------------------
@@ -154,9 +157,15 @@ def run_etl(
         "protein_sequences": f"{out}/protein_sequences.parquet",
         "full_variation": f"{out}/full_variation.parquet",
     }
-    sinks.write_parquet(missense_ids_frame(text.read_vcf(spark, vcf)), paths["missense_ids"])
-    sinks.write_parquet(transcript_map_frame(read_gene2accession(spark, gene2accession)), paths["transcript_map"])
-    sinks.write_parquet(protein_sequences_frame(text.read_fasta(spark, fasta), prefix), paths["protein_sequences"])
+    counts = {
+        "missense_ids": sinks.write_parquet(missense_ids_frame(text.read_vcf(spark, vcf)), paths["missense_ids"]),
+        "transcript_map": sinks.write_parquet(
+            transcript_map_frame(read_gene2accession(spark, gene2accession)), paths["transcript_map"]
+        ),
+        "protein_sequences": sinks.write_parquet(
+            protein_sequences_frame(text.read_fasta(spark, fasta), prefix), paths["protein_sequences"]
+        ),
+    }
 
     features = variant_features_frame(read_variant_summary(spark, variant_summary))
     sequences = pq_src.read_table(spark, paths["protein_sequences"]) if join_sequences else None
@@ -167,11 +176,13 @@ def run_etl(
         sequences,
         ignore_version,
     )
-    sinks.write_parquet(full, paths["full_variation"])
+    counts["full_variation"] = sinks.write_parquet(full, paths["full_variation"])
 
     if prepare_ml:
         paths["ml"] = f"{out}/ml.parquet"
-        run_ml_dataset(spark, paths["full_variation"], paths["ml"], scope, split_key, dense)
+        counts["ml"] = run_ml_dataset(spark, paths["full_variation"], paths["ml"], scope, split_key, dense)
+    for name, rows in counts.items():
+        log.info("wrote %s: %d rows to %s", name, rows, paths[name])
     return paths
 
 
@@ -183,10 +194,10 @@ def run_ml_dataset(
     split_key: str = "row",
     dense: bool = True,
     n: int = MAX_SEQUENCE_LENGTH,
-) -> None:
-    """JOB6 from the written full dataset to one ``split``-partitioned table."""
+) -> int:
+    """JOB6 from the written full dataset to one ``split``-partitioned table; returns its row count."""
     full = spark.read.parquet(full_path)
-    sinks.write_ml_table(ml_frame(full, scope=scope, split_key=split_key, n=n), out_path, n=n, dense=dense)
+    return sinks.write_ml_table(ml_frame(full, scope=scope, split_key=split_key, n=n), out_path, n=n, dense=dense)
 
 
 def run_score_report(spark: SparkSession, scores_path: str, by: Sequence[str] = ("model",)) -> DataFrame:

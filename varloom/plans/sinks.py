@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,11 +14,18 @@ from varloom.functions.sequence import position_index
 from varloom.functions.vectors import context_dense, mutation_dense
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] | None = None) -> None:
-    writer = df.write.mode("overwrite")
+def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] | None = None) -> int:
+    """Overwrite ``path``; return the number of rows written.
+
+    The count is an ``observe`` metric gathered by the write job itself, not a
+    second pass over the data.
+    """
+    observation = Observation(f"rows_{uuid.uuid4().hex[:8]}")
+    writer = df.observe(observation, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    return int(observation.get.get("rows", 0))
 
 
 def empty_frame(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
@@ -62,7 +70,7 @@ def write_ml_table(
     dense: bool = True,
     split_col: str = "split",
     partitions: int | None = None,
-) -> None:
+) -> int:
     """One partitioned write for all parts; readers prune on ``split``.
 
     Densifying grows a row ~``8n`` bytes, while the sparse input's partition
@@ -75,4 +83,4 @@ def write_ml_table(
         out = with_dense_vectors(rows.repartition(width, *ML_KEY_COLUMNS), n)
     else:
         out = rows
-    write_parquet(out, path, partition_by=[split_col])
+    return write_parquet(out, path, partition_by=[split_col])

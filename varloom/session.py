@@ -55,13 +55,19 @@ def build_session(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a local one only if unset."""
+    """Return the session's checkpoint folder (``spark.checkpoint.dir``).
+
+    Only a local-mode session without one gets a fresh local folder (tests);
+    on a cluster a machine-local folder would not be shared, so it is an error.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         configured = tempfile.mkdtemp(prefix="varloom-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
