@@ -93,6 +93,6 @@ def test_read_features_projects_and_prunes(spark, tmp_path):
     df = read_features(spark, path, ["position", "context_positions"], "is_pathogenic", splits=["test"])
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert df.columns == ["position", "context_positions", "is_pathogenic"]
-    assert "ReadSchema: struct<position:string,context_positions:array<int>,is_pathogenic:int>" in plan
+    assert "ReadSchema: struct<position:string,is_pathogenic:int,context_positions:array<int>>" in plan
     assert "PartitionFilters: [isnotnull(split" in plan
     assert df.count() == spark.read.parquet(path).filter("split = 'test'").count()
