@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,15 +16,14 @@ from varloom.functions.vectors import context_dense, mutation_dense
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] | None = None) -> int:
     """Overwrite ``path``; return the number of rows written.
 
-    The count is an ``observe`` metric gathered by the write job itself, not a
-    second pass over the data.
+    The count is read back from the written table (parquet row-group metadata),
+    not recomputed from ``df``'s lineage.
     """
-    observation = Observation(f"rows_{uuid.uuid4().hex[:8]}")
-    writer = df.observe(observation, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+    writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return int(observation.get.get("rows", 0))
+    return df.sparkSession.read.parquet(path).count()
 
 
 def empty_frame(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
