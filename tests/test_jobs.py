@@ -48,8 +48,9 @@ def test_empty_inputs_still_write_tables(spark, tmp_path):
             f.write(content)
     paths = jobs.run_etl(spark, f"{d}/vs.tsv", f"{d}/a.vcf", f"{d}/g.tsv", f"{d}/p.faa", f"{d}/out",
                          join_sequences=True, prepare_ml=True)
-    for key in ("missense_ids", "transcript_map", "protein_sequences", "full_variation"):
+    for key in ("missense_ids", "transcript_map", "protein_sequences", "full_variation", "ml"):
         assert spark.read.parquet(paths[key]).count() == 0
+    assert {"split", "mutation_vector", "context_vector"} <= set(spark.read.parquet(paths["ml"]).columns)
 
 
 def test_model_side_names(spark):

@@ -23,7 +23,12 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] | None =
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.parquet(path).count()
+    rows = df.sparkSession.read.schema(df.schema).parquet(path).count()
+    if rows == 0 and partition_by:
+        # A partitioned write of no rows leaves no data file; write one typed
+        # empty file so readers still find the schema.
+        df.limit(0).write.mode("overwrite").parquet(path)
+    return rows
 
 
 def empty_frame(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
