@@ -97,3 +97,14 @@ def test_read_features_projects_and_prunes(spark, tmp_path):
     assert "ReadSchema: struct<position:string,is_pathogenic:int,context_positions:array<int>>" in plan
     assert "PartitionFilters: [isnotnull(split" in plan
     assert df.count() == spark.read.parquet(path).filter("split = 'test'").count()
+
+
+def test_local_batches_stream_in_fixed_sizes(spark):
+    from varloom.sources.parquet import local_batches
+
+    df = spark.range(1000).selectExpr("id", "id % 2 AS label").repartition(7)
+    sizes, total = [], 0
+    for batch in local_batches(df, 256):
+        sizes.append(len(batch["id"]))
+        total += sum(batch["label"])
+    assert sizes == [256, 256, 256, 232] and total == 500

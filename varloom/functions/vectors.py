@@ -44,10 +44,10 @@ def context_dense(positions: Column, n: int = MAX_SEQUENCE_LENGTH) -> Column:
 
 
 def hot_positions(dense: Column) -> Column:
-    """1-based indices of the non-zero entries of a dense vector."""
+    """1-based indices of the non-zero entries of a dense vector (one pass)."""
     return F.filter(
-        F.transform(dense, lambda v, i: F.when(v != 0, i + 1)),
-        lambda x: x.isNotNull(),
+        F.sequence(F.lit(1), F.greatest(F.size(dense), F.lit(1))),
+        lambda i: F.coalesce(F.try_element_at(dense, i) != 0, F.lit(False)),
     )
 
 

@@ -233,6 +233,20 @@ ORACLE: dict[str, str] = {
             FROM ({_context_sql('within_split')})"""
     ),
     "ml_table": _with(_ML_TABLE),
+    "two_channel_input": _with(
+        f"""SELECT NP_transcript, position, phenotype_list, split, CAST(2 AS BIGINT) AS n_channels,
+              CAST({N} AS BIGINT) AS width, CAST(TRY_CAST(position AS INTEGER) AS VARCHAR) AS channel0_hot,
+              context_positions AS channel1_hot
+            FROM ({_context_sql('within_split')})"""
+    ),
+    "full_variation_preview": _with(
+        """SELECT * FROM full_var
+           ORDER BY name NULLS FIRST, gene_symbol NULLS FIRST, phenotype_ids NULLS FIRST,
+                    phenotype_list NULLS FIRST, NM_transcript NULLS FIRST, NP_transcript NULLS FIRST,
+                    REF_amino_acid NULLS FIRST, ALT_amino_acid NULLS FIRST, position NULLS FIRST,
+                    is_pathogenic NULLS FIRST
+           LIMIT 20"""
+    ),
     "model_side_table": _with(
         f"""SELECT NP_transcript, position, phenotype_list, split,
               TRY_CAST(position AS INTEGER) AS POS_vector, context_positions AS Patho_Vector,

@@ -74,6 +74,9 @@ def _scored(spark, sf):
     return metrics.score_rows(_fx(spark, sf, "fx_scores"))
 
 
+PREVIEW_ROWS = 20
+
+
 def _r6(name: str) -> F.Column:
     return F.round(F.col(name), 6).alias(name)
 
@@ -305,6 +308,27 @@ def model_side_table(spark, sf):
                           "POS_vector", "Patho_Vector", "ClinSigSimple")
 
 
+def two_channel_input(spark, sf):
+    """Model input with the two vectors kept apart: channel 0 mutation, channel 1 context."""
+    rows = ctx_ops.context_positions(_staged_split_rows(spark, sf))
+    channels = vectors.two_channels(
+        vectors.mutation_dense(position_index(F.col("position"))), vectors.context_dense(F.col("context_positions"))
+    )
+    return rows.select(*ML_KEY_COLUMNS, "split", channels.alias("x")).select(
+        *ML_KEY_COLUMNS, "split",
+        F.size("x").cast("long").alias("n_channels"),
+        F.size(F.col("x")[0]).cast("long").alias("width"),
+        vectors.join_ints(vectors.hot_positions(F.col("x")[0])).alias("channel0_hot"),
+        vectors.join_ints(vectors.hot_positions(F.col("x")[1])).alias("channel1_hot"),
+    )
+
+
+def full_variation_preview(spark, sf):
+    """The first rows of the full dataset under its total order (a preview: the limit is the feature)."""
+    full = _full(spark, sf)
+    return full.orderBy(*[F.col(c).asc_nulls_first() for c in full.columns]).limit(PREVIEW_ROWS)
+
+
 # ---------------------------------------------------------------------------
 # Scoring and selection
 # ---------------------------------------------------------------------------
@@ -385,6 +409,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mutation_vector": mutation_vector,
     "context_vector": context_vector,
     "ml_table": ml_table,
+    "two_channel_input": two_channel_input,
+    "full_variation_preview": full_variation_preview,
     "model_side_table": model_side_table,
     "score_rows": score_rows,
     "model_report": model_report,

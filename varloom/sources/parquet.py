@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,3 +28,22 @@ def read_features(
     if splits is not None:
         df = df.filter(F.col("split").isin(list(splits)))
     return df.select(*features, target)
+
+
+def local_batches(df: DataFrame, batch_size: int = 256) -> Iterator[dict[str, list]]:
+    """Column-wise batches of ``batch_size`` rows for a consumer that runs in the
+    driver process (a single-process trainer).
+
+    Rows stream one partition at a time (``toLocalIterator``), so the driver holds
+    one partition and one batch, never the table. Work that can run on executors
+    should use DataFrame operations instead.
+    """
+    columns = df.columns
+    batch: list = []
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        batch.append(row)
+        if len(batch) == batch_size:
+            yield {c: [r[i] for r in batch] for i, c in enumerate(columns)}
+            batch = []
+    if batch:
+        yield {c: [r[i] for r in batch] for i, c in enumerate(columns)}
