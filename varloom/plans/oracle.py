@@ -224,7 +224,7 @@ ORACLE: dict[str, str] = {
     "context_from_train": _with(_context_sql("from_train")),
     "mutation_vector": _with(
         f"""SELECT NP_transcript, position, phenotype_list, CAST({N} AS BIGINT) AS mutation_len,
-              CAST(TRY_CAST(position AS INTEGER) AS VARCHAR) AS mutation_hot, 1.0::DOUBLE AS mutation_sum
+              CAST(TRY_CAST(position AS INTEGER) AS VARCHAR) AS mutation_hot, CAST(1 AS BIGINT) AS mutation_nonzero
             FROM ph_one"""
     ),
     "context_vector": _with(

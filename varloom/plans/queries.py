@@ -261,8 +261,8 @@ def mutation_vector(spark, sf):
     return rows.select(*ML_KEY_COLUMNS, dense.alias("v")).select(
         *ML_KEY_COLUMNS,
         F.size("v").cast("long").alias("mutation_len"),
-        vectors.join_ints(vectors.hot_positions(F.col("v"))).alias("mutation_hot"),
-        F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double")).alias("mutation_sum"),
+        F.array_position("v", 1.0).cast("string").alias("mutation_hot"),
+        F.size(F.array_remove("v", 0.0)).cast("long").alias("mutation_nonzero"),
     )
 
 
@@ -273,7 +273,7 @@ def context_vector(spark, sf):
         *ML_KEY_COLUMNS, "split",
         F.size("v").cast("long").alias("context_len"),
         vectors.join_ints(vectors.hot_positions(F.col("v"))).alias("context_hot"),
-        F.aggregate("v", F.lit(0).cast("long"), lambda acc, x: acc + x.cast("long")).alias("context_sum"),
+        F.size(F.array_remove("v", 0)).cast("long").alias("context_sum"),
     )
 
 
@@ -318,7 +318,7 @@ def two_channel_input(spark, sf):
         *ML_KEY_COLUMNS, "split",
         F.size("x").cast("long").alias("n_channels"),
         F.size(F.col("x")[0]).cast("long").alias("width"),
-        vectors.join_ints(vectors.hot_positions(F.col("x")[0])).alias("channel0_hot"),
+        F.array_position(F.col("x")[0], 1.0).cast("string").alias("channel0_hot"),
         vectors.join_ints(vectors.hot_positions(F.col("x")[1])).alias("channel1_hot"),
     )
 
