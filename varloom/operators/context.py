@@ -3,23 +3,24 @@ same protein and phenotype.
 
 Computed as a group aggregate, never row against row:
 
-1. count pathogenic rows per (group, position) — combines map-side, so a hot
-   group shrinks to at most ``n`` positions before the shuffle;
-2. collect those (position, count) pairs per group, sorted — state bounded by
-   the vector width ``n``, whatever the group's row count;
-3. join the pairs back to the rows and drop the row's own contribution: a
-   position stays when its count, minus one if it is the row's own pathogenic
-   position, is positive.
+1. collect the positions of the pathogenic rows per group, sorted — one
+   shuffle of (group key, position) pairs, combined map-side;
+2. join that list back to the rows (the group side is already partitioned on
+   the join key, so only the rows are shuffled);
+3. drop one occurrence of the row's own position (when the row itself is
+   counted) and de-duplicate — native array functions, no per-element lambda.
 
-The join back is a shuffle join whose large side adaptive execution splits when
-a group is skewed. The result is sparse: a sorted ``array<int>``; dense vectors
-are made only by the sink.
+Bounded state: rows are unique per (protein, position, phenotype) and keep
+``1 <= position <= n``, so a group holds at most ``n`` positions however many
+rows the protein has; no group can be a hot key for the join back. The result is
+sparse — a sorted ``array<int>`` — and dense vectors are made only by the sink.
 
 Scopes:
 
 * ``within_split`` — each part sees only its own rows' labels;
 * ``from_train`` — every row sees the labels of the training part only (a
-  training row still excludes itself), so validation/test labels never leak.
+  training row still excludes itself), so validation/test labels never leak;
+* ``all_rows`` — one context over all rows, regardless of split.
 """
 
 from __future__ import annotations
@@ -61,20 +62,21 @@ def context_positions(
         source = rows
         self_counted = pathogenic
 
-    per_position = (
+    per_group = (
         source.filter(pathogenic)
-        .groupBy(*part_cols, pos.alias("p"))
-        .agg(F.count(F.lit(1)).alias("k"))
+        .groupBy(*part_cols)
+        .agg(F.array_sort(F.collect_list(pos)).alias("__positions"))
     )
-    per_group = per_position.groupBy(*part_cols).agg(
-        F.sort_array(F.collect_list(F.struct("p", "k"))).alias("__entries")
-    )
-
-    own = F.when(self_counted, pos)
     joined = rows.join(per_group, on=part_cols, how="left")
-    kept = F.filter(
-        F.col("__entries"),
-        lambda e: e["k"] - F.when(e["p"] == own, F.lit(1)).otherwise(F.lit(0)) > 0,
-    )
-    context = F.coalesce(F.transform(kept, lambda e: e["p"]), F.array().cast("array<int>"))
-    return joined.withColumn(col, context).drop("__entries").select(*rows.columns, col)
+
+    positions = F.coalesce(F.col("__positions"), F.array().cast("array<int>"))
+    # 1-based index of the row's own position in the sorted list; 0 when not counted.
+    own = F.when(self_counted, F.array_position(positions, pos)).otherwise(F.lit(0)).cast("int")
+    without_own = F.when(
+        own > 0,
+        F.concat(
+            F.slice(positions, F.lit(1), own - 1),
+            F.slice(positions, own + 1, F.greatest(F.size(positions) - own, F.lit(0))),
+        ),
+    ).otherwise(positions)
+    return joined.withColumn(col, F.array_distinct(without_own)).select(*rows.columns, col)
