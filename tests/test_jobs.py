@@ -108,3 +108,25 @@ def test_local_batches_stream_in_fixed_sizes(spark):
         sizes.append(len(batch["id"]))
         total += sum(batch["label"])
     assert sizes == [256, 256, 256, 232] and total == 500
+
+
+def test_dense_table_reads_back_in_spark_and_arrow(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from varloom.plans import sinks
+
+    rows = jobs.ml_frame(q._full(spark, SF_SMALL))
+    path = str(tmp_path / "dense")
+    sinks.write_ml_table(rows, path)
+    assert spark.conf.get("spark.sql.parquet.writeLegacyFormat", "false") == "false"  # restored
+    back = spark.read.parquet(path)
+    got = {(r["NP_transcript"], r["position"], r["phenotype_list"]): (list(r["mutation_vector"]), list(r["context_vector"]))
+           for r in back.collect()}
+    for r in rows.collect():
+        m, c = got[(r["NP_transcript"], r["position"], r["phenotype_list"])]
+        assert m.index(1.0) == int(r["position"]) - 1 and sum(m) == 1.0
+        assert [i + 1 for i, v in enumerate(c) if v] == list(r["context_positions"])
+    table = pq.read_table(glob.glob(f"{path}/split=train/*.parquet")[0])
+    assert len(table.column("mutation_vector")[0]) == 2048
