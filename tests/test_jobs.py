@@ -130,3 +130,14 @@ def test_dense_table_reads_back_in_spark_and_arrow(spark, tmp_path):
         assert [i + 1 for i, v in enumerate(c) if v] == list(r["context_positions"])
     table = pq.read_table(glob.glob(f"{path}/split=train/*.parquet")[0])
     assert len(table.column("mutation_vector")[0]) == 2048
+
+
+def test_cli_ml_and_fit(spark, tmp_path):
+    from varloom.plans import cli, sinks
+
+    d = str(tmp_path)
+    sinks.write_parquet(q._full(spark, SF_SMALL), f"{d}/full")
+    assert cli.main(["ml", "--full-variation", f"{d}/full", "--out", f"{d}/ml", "--sparse"]) == 0
+    assert cli.main(["fit", "--ml-table", f"{d}/ml", "--out", f"{d}/search", "--trials", "2"]) == 0
+    out = spark.read.parquet(f"{d}/search").collect()
+    assert len(out) == 2 and sum(r["is_best"] for r in out) == 1

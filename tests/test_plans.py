@@ -47,3 +47,19 @@ def test_split_filter_prunes_partitions(spark, tmp_path):
     df = spark.read.parquet(path).filter(F.col("split") == "test").select("name")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(split" in plan and "(split#" in plan
+
+
+def test_semi_join_reuses_dedupe_partitioning(spark):
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for k in old:
+        spark.conf.set(k, "-1")
+    try:
+        plan = q.missense_variants(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    lines = plan.split("\n")
+    semi = next(i for i, l in enumerate(lines) if "LeftSemi" in l)
+    # the first operator under the left child is the dedupe aggregate, not a new exchange
+    left = [l for l in lines[semi + 1: semi + 6] if l.strip()]
+    assert "SortAggregate" in " ".join(left[:3]) and "Exchange" not in " ".join(left[:2])

@@ -114,3 +114,12 @@ def test_tsv_dotted_header_names(spark, tmp_path):
     path = _write(str(tmp_path / "g.tsv"), content)
     got = sorted(map(tuple, transcript_map(text.read_tsv(spark, path)).collect()))
     assert got == [("NM_1.1", "NP_1.1"), ("NM_4.1", "NP_4.1")]
+
+
+def test_tsv_gzip_equals_plain(spark, tmp_path):
+    content = "Name\tVariationID\n" + "".join(f"N{i}\t{i}\n" for i in range(50))
+    plain = _write(str(tmp_path / "v.txt"), content)
+    gz = _write(str(tmp_path / "v.txt.gz"), content, gz=True)
+    a = sorted(map(tuple, text.read_tsv(spark, plain).collect()))
+    b = sorted(map(tuple, text.read_tsv(spark, gz).collect()))
+    assert a == b and len(a) == 50
