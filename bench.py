@@ -56,7 +56,7 @@ def main():
     sinks.write_parquet(full(), full_path)
 
     def ml_dataset():
-        sinks.write_ml_table(jobs.ml_frame(spark.read.parquet(full_path)), shared_path(spark, "bench_ml"))
+        jobs.run_ml_dataset(spark, full_path, shared_path(spark, "bench_ml"))
 
     def context():
         rows = stage(split.assign_split(phenotypes.ml_rows(spark.read.parquet(full_path))), "bench_rows")

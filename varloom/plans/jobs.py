@@ -89,13 +89,24 @@ def ml_frame(
     staged: bool = True,
 ) -> DataFrame:
     """JOB6 (sparse form): rows, ``split`` and ``context_positions``."""
-    rows = phenotypes.ml_rows(full, n)
-    parts = split.assign_split(rows, key=split_key, ratios=ratios, seed=seed)
+    parts = ml_parts(full, split_key, ratios, seed, n)
     # The context reads these rows twice (aggregate and join back): compute them once.
     parts = stage(parts, "ml_rows") if staged else parts
     return ctx_ops.context_positions(parts, scope=scope)
 
 
+def ml_parts(
+    full: DataFrame,
+    split_key: str | Sequence[str] = "row",
+    ratios: Sequence[float] = SPLIT_RATIOS,
+    seed: int = SPLIT_SEED,
+    n: int = MAX_SEQUENCE_LENGTH,
+) -> DataFrame:
+    """One row per (protein, position, phenotype) with its ``split``."""
+    rows = phenotypes.ml_rows(full, n)
+    return split.assign_split(rows, key=split_key, ratios=ratios, seed=seed)
+
+
 def score_report_frame(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """JOB7: accuracy and loss per model (and any other grouping column)."""
     return metrics.report(metrics.score_rows(scores), by=by)
@@ -195,9 +206,17 @@ def run_ml_dataset(
     dense: bool = True,
     n: int = MAX_SEQUENCE_LENGTH,
 ) -> int:
-    """JOB6 from the written full dataset to one ``split``-partitioned table; returns its row count."""
-    full = spark.read.parquet(full_path)
-    return sinks.write_ml_table(ml_frame(full, scope=scope, split_key=split_key, n=n), out_path, n=n, dense=dense)
+    """JOB6 from the written full dataset to one ``split``-partitioned table; returns its row count.
+
+    The split rows are staged once; the context keeps their row count (a left
+    join on a unique group key), so that count, read from parquet metadata,
+    sizes the dense write.
+    """
+    parts = stage(ml_parts(spark.read.parquet(full_path), split_key, n=n), "ml_rows")
+    rows = parts.count()
+    width = sinks.dense_partitions(rows, n) if dense else None
+    sinks.write_ml_table(ctx_ops.context_positions(parts, scope=scope), out_path, n=n, dense=dense, partitions=width)
+    return rows
 
 
 def run_score_report(spark: SparkSession, scores_path: str, by: Sequence[str] = ("model",)) -> DataFrame:

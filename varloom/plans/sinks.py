@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from contextlib import contextmanager
 
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from varloom.constants import MAX_SEQUENCE_LENGTH, ML_KEY_COLUMNS, MODEL_SIDE_NAMES
 from varloom.functions.sequence import position_index
 from varloom.functions.vectors import context_dense, mutation_dense
+from varloom.session import stage
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] | None = None) -> int:
@@ -62,23 +64,28 @@ def pad_vector(col: str, width: int, element_type: str) -> Column:
 
 
 @contextmanager
-def session_conf(spark: SparkSession, key: str, value: str):
-    """Set a SQL conf for the duration of one write, then restore it."""
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+def session_conf(spark: SparkSession, settings: dict[str, str]):
+    """Set SQL confs for the duration of one write, then restore them."""
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if old is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, old)
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
-def dense_partitions(spark: SparkSession) -> int:
-    """Task count for the dense sink: at least the shuffle width and the core count."""
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(shuffle, spark.sparkContext.defaultParallelism)
+# Target in-memory size of the dense rows one write task produces.
+DENSE_TASK_BYTES = 64 * 1024 * 1024
+
+
+def dense_partitions(rows: int, n: int = MAX_SEQUENCE_LENGTH) -> int:
+    """Tasks for ``rows`` dense rows of two width-``n`` vectors (4 bytes per element)."""
+    return max(1, math.ceil(rows * 8 * n / DENSE_TASK_BYTES))
 
 
 def write_ml_table(
@@ -89,12 +96,15 @@ def write_ml_table(
     split_col: str = "split",
     partitions: int | None = None,
 ) -> int:
-    """One partitioned write for all parts; readers prune on ``split``.
+    """One partitioned write for all parts; readers prune on ``split``. Returns the row count.
 
-    Densifying grows a row ~``8n`` bytes, while the sparse input's partition
-    count was sized (and coalesced by adaptive execution) for the sparse
-    rows; so the sparse rows are first hash-spread on their key (unique within
-    a part, hence balanced) over ``partitions`` tasks, then expanded.
+    Densifying grows a row by ~``8n`` bytes, so the task count must follow the
+    dense size, not the sparse input's partitioning or the cluster's shuffle
+    width (which would make thousands of tiny files). The sparse rows are first
+    written once to the shared folder (cheap, and a lineage cut before the
+    expensive step); their exact count, from parquet metadata, sets the task
+    count so each task densifies about ``DENSE_TASK_BYTES``. Rows are spread by
+    a hash of their key, unique within a part, hence balanced.
 
     The dense arrays have non-null elements, which parquet can store as a flat
     two-level repeated field (Spark's ``writeLegacyFormat`` list layout) instead
@@ -104,7 +114,9 @@ def write_ml_table(
     if not dense:
         return write_parquet(rows, path, partition_by=[split_col])
     spark = rows.sparkSession
-    width = partitions or dense_partitions(spark)
-    out = with_dense_vectors(rows.repartition(width, *ML_KEY_COLUMNS), n)
-    with session_conf(spark, "spark.sql.parquet.writeLegacyFormat", "true"):
+    if partitions is None:
+        rows = stage(rows, "ml_sparse")
+        partitions = dense_partitions(rows.count(), n)
+    out = with_dense_vectors(rows.repartition(partitions, *ML_KEY_COLUMNS), n)
+    with session_conf(spark, {"spark.sql.parquet.writeLegacyFormat": "true"}):
         return write_parquet(out, path, partition_by=[split_col])
