@@ -17,6 +17,7 @@ import sys
 
 from varloom.constants import SEARCH_TRIALS, SPLIT_SEED
 from varloom.operators import context as ctx_ops
+from varloom.operators import fit as fit_ops
 from varloom.operators import split as split_ops
 from varloom.plans import jobs, sinks
 from varloom.session import build_session
@@ -57,6 +58,8 @@ def _parser() -> argparse.ArgumentParser:
     fit.add_argument("--out", required=True)
     fit.add_argument("--trials", type=int, default=SEARCH_TRIALS)
     fit.add_argument("--seed", type=int, default=SPLIT_SEED)
+    fit.add_argument("--model", choices=("logistic", "perceptron"), default="logistic",
+                     help="logistic regression, or a feed-forward perceptron searched over layer shapes")
     return p
 
 
@@ -82,7 +85,9 @@ def main(argv: list[str] | None = None) -> int:
             report.orderBy(*args.by).show(truncate=False)
     elif args.command == "fit":
         rows = spark.read.parquet(args.ml_table)
-        sinks.write_parquet(jobs.fit_and_select_frame(rows, trials=args.trials, seed=args.seed), args.out)
+        estimator = fit_ops.perceptron(seed=args.seed) if args.model == "perceptron" else fit_ops.logistic()
+        result = jobs.fit_and_select_frame(rows, estimator=estimator, trials=args.trials, seed=args.seed)
+        sinks.write_parquet(result, args.out)
     return 0
 
 
