@@ -4,7 +4,7 @@ Runs each job on the tables in ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1)
 with ``local[$BENCH_CPUS]`` and prints one JSON line. Every job is fully
 executed: results go to the ``noop`` sink (all rows computed, nothing collected
 to the driver) or, for the ML table, to its real partitioned parquet sink.
-A job's time is the median of ``$BENCH_REPEATS`` runs (default 3); ``value``
+A job's time is the median of ``$BENCH_REPEATS`` runs (default 5); ``value``
 is the sum of the medians.
 """
 
@@ -36,7 +36,7 @@ def _noop(df):
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "5"))
     spark = build_session(master=f"local[{cpus}]", app_name="varloom-bench", shuffle_partitions=max(2 * cpus, 8))
     spark.sparkContext.setLogLevel("ERROR")
 
