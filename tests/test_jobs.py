@@ -141,3 +141,15 @@ def test_cli_ml_and_fit(spark, tmp_path):
     assert cli.main(["fit", "--ml-table", f"{d}/ml", "--out", f"{d}/search", "--trials", "2"]) == 0
     out = spark.read.parquet(f"{d}/search").collect()
     assert len(out) == 2 and sum(r["is_best"] for r in out) == 1
+
+
+def test_model_side_table_for_model_scripts(spark, tmp_path):
+    from varloom.plans import cli, sinks
+
+    d = str(tmp_path)
+    sinks.write_parquet(q._full(spark, SF_SMALL), f"{d}/full")
+    assert cli.main(["ml", "--full-variation", f"{d}/full", "--out", f"{d}/ml", "--model-width", "2056"]) == 0
+    ml = spark.read.parquet(f"{d}/ml")
+    assert {"POS_vector", "Patho_Vector", "ClinSigSimple"} <= set(ml.columns)
+    widths = ml.select(F.size("POS_vector").alias("a"), F.size("Patho_Vector").alias("b")).distinct().collect()
+    assert [(r["a"], r["b"]) for r in widths] == [(2056, 2056)]

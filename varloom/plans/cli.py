@@ -15,7 +15,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from varloom.constants import SEARCH_TRIALS, SPLIT_SEED
+from varloom.constants import MODEL_VECTOR_LENGTH, SEARCH_TRIALS, SPLIT_SEED
 from varloom.operators import context as ctx_ops
 from varloom.operators import fit as fit_ops
 from varloom.operators import split as split_ops
@@ -47,6 +47,8 @@ def _parser() -> argparse.ArgumentParser:
     ml.add_argument("--context-scope", choices=ctx_ops.SCOPES, default="within_split")
     ml.add_argument("--split-key", choices=sorted(split_ops.SPLIT_KEYS), default="row")
     ml.add_argument("--sparse", action="store_true")
+    ml.add_argument("--model-width", type=int, default=None,
+                    help=f"publish POS_vector/Patho_Vector/ClinSigSimple padded to this width (the model scripts use {MODEL_VECTOR_LENGTH})")
 
     score = sub.add_parser("score", help="scores table -> accuracy and loss per group")
     score.add_argument("--scores", required=True)
@@ -76,7 +78,8 @@ def main(argv: list[str] | None = None) -> int:
         for name, path in paths.items():
             print(f"{name}\t{path}")
     elif args.command == "ml":
-        jobs.run_ml_dataset(spark, args.full_variation, args.out, args.context_scope, args.split_key, not args.sparse)
+        jobs.run_ml_dataset(spark, args.full_variation, args.out, args.context_scope, args.split_key, not args.sparse,
+                            model_width=args.model_width)
     elif args.command == "score":
         report = jobs.run_score_report(spark, args.scores, args.by)
         if args.out:

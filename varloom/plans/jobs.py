@@ -205,6 +205,7 @@ def run_ml_dataset(
     split_key: str = "row",
     dense: bool = True,
     n: int = MAX_SEQUENCE_LENGTH,
+    model_width: int | None = None,
 ) -> int:
     """JOB6 from the written full dataset to one ``split``-partitioned table; returns its row count.
 
@@ -215,7 +216,8 @@ def run_ml_dataset(
     parts = stage(ml_parts(spark.read.parquet(full_path), split_key, n=n), "ml_rows")
     rows = parts.count()
     width = sinks.dense_partitions(rows, n) if dense else None
-    sinks.write_ml_table(ctx_ops.context_positions(parts, scope=scope), out_path, n=n, dense=dense, partitions=width)
+    context = ctx_ops.context_positions(parts, scope=scope)
+    sinks.write_ml_table(context, out_path, n=n, dense=dense, partitions=width, model_width=model_width)
     return rows
 
 

@@ -95,9 +95,14 @@ def write_ml_table(
     dense: bool = True,
     split_col: str = "split",
     partitions: int | None = None,
+    model_width: int | None = None,
 ) -> int:
     """One partitioned write for all parts; readers prune on ``split``. Returns the row count.
 
+    ``model_width`` publishes the model scripts' form instead: vectors
+    zero-padded to that width and named ``POS_vector``/``Patho_Vector``, the
+    label named ``ClinSigSimple``.
+
     Densifying grows a row by ~``8n`` bytes, so the task count must follow the
     dense size, not the sparse input's partitioning or the cluster's shuffle
     width (which would make thousands of tiny files). The sparse rows are first
@@ -118,5 +123,14 @@ def write_ml_table(
         rows = stage(rows, "ml_sparse")
         partitions = dense_partitions(rows.count(), n)
     out = with_dense_vectors(rows.repartition(partitions, *ML_KEY_COLUMNS), n)
+    if model_width:
+        out = model_side_names(
+            out.withColumns(
+                {
+                    "mutation_vector": pad_vector("mutation_vector", model_width, "float"),
+                    "context_vector": pad_vector("context_vector", model_width, "int"),
+                }
+            )
+        )
     with session_conf(spark, {"spark.sql.parquet.writeLegacyFormat": "true"}):
         return write_parquet(out, path, partition_by=[split_col])
