@@ -118,7 +118,7 @@ row_strategy = st.lists(
 
 
 @SETTINGS
-@given(row_strategy, st.sampled_from(["within_split", "from_train", "all_rows"]))
+@given(row_strategy, st.sampled_from(["within_split", "from_train"]))
 def test_context_matches_brute_force(spark, raw, scope):
     seen, rows = set(), []
     for np_, pos, ph, y, part in raw:

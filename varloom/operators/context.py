@@ -19,8 +19,7 @@ Scopes:
 
 * ``within_split`` — each part sees only its own rows' labels;
 * ``from_train`` — every row sees the labels of the training part only (a
-  training row still excludes itself), so validation/test labels never leak;
-* ``all_rows`` — one context over all rows, regardless of split.
+  training row still excludes itself), so validation/test labels never leak.
 """
 
 from __future__ import annotations
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from varloom.functions.sequence import position_index
 
 GROUP_COLUMNS = ("NP_transcript", "phenotype_list")
-SCOPES = ("within_split", "from_train", "all_rows")
+SCOPES = ("within_split", "from_train")
 
 
 def context_positions(
@@ -53,14 +52,10 @@ def context_positions(
         part_cols = [split_col, *group_cols]
         source = rows
         self_counted = pathogenic
-    elif scope == "from_train":
+    else:
         part_cols = list(group_cols)
         source = rows.filter(F.col(split_col) == source_split)
         self_counted = pathogenic & (F.col(split_col) == source_split)
-    else:
-        part_cols = list(group_cols)
-        source = rows
-        self_counted = pathogenic
 
     per_group = (
         source.filter(pathogenic)
