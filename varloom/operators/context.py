@@ -42,7 +42,15 @@ def context_positions(
     source_split: str = "train",
     group_cols: Sequence[str] = GROUP_COLUMNS,
     col: str = "context_positions",
+    partitions: int | None = None,
 ) -> DataFrame:
+    """Add ``col``: the sorted context positions of each row.
+
+    With ``partitions``, the rows are first hash-partitioned on the group key
+    into that many partitions; the collect and the join back then reuse that
+    partitioning (no further shuffle of the rows), and so can a following sink.
+    Groups are bounded by ``n`` rows, so this partitioning has no hot key.
+    """
     if scope not in SCOPES:
         raise ValueError(f"scope must be one of {SCOPES}")
     pos = position_index(F.col("position"))
@@ -50,15 +58,16 @@ def context_positions(
 
     if scope == "within_split":
         part_cols = [split_col, *group_cols]
-        source = rows
-        self_counted = pathogenic
+        in_source = F.lit(True)
     else:
         part_cols = list(group_cols)
-        source = rows.filter(F.col(split_col) == source_split)
-        self_counted = pathogenic & (F.col(split_col) == source_split)
+        in_source = F.col(split_col) == source_split
+    self_counted = pathogenic & in_source
+    if partitions:
+        rows = rows.repartition(partitions, *part_cols)
 
     per_group = (
-        source.filter(pathogenic)
+        rows.filter(pathogenic & in_source)
         .groupBy(*part_cols)
         .agg(F.array_sort(F.collect_list(pos)).alias("__positions"))
     )

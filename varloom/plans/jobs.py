@@ -209,15 +209,20 @@ def run_ml_dataset(
 ) -> int:
     """JOB6 from the written full dataset to one ``split``-partitioned table; returns its row count.
 
-    The split rows are staged once; the context keeps their row count (a left
-    join on a unique group key), so that count, read from parquet metadata,
-    sizes the dense write.
+    The split rows are staged once; their count, read from parquet metadata,
+    sizes one hash partitioning on the group key that the context collect, the
+    join back and the dense write all reuse.
     """
     parts = stage(ml_parts(spark.read.parquet(full_path), split_key, n=n), "ml_rows")
     rows = parts.count()
-    width = sinks.dense_partitions(rows, n) if dense else None
-    context = ctx_ops.context_positions(parts, scope=scope)
-    sinks.write_ml_table(context, out_path, n=n, dense=dense, partitions=width, model_width=model_width)
+    if not dense:
+        sinks.write_ml_table(ctx_ops.context_positions(parts, scope=scope), out_path, n=n, dense=False)
+        return rows
+    # One partitioning, sized for the dense output, serves the context collect,
+    # the join back and the dense sink.
+    width = sinks.dense_partitions(rows, n)
+    context = ctx_ops.context_positions(parts, scope=scope, partitions=width)
+    sinks.write_ml_table(context, out_path, n=n, model_width=model_width, prepartitioned=True)
     return rows
 
 

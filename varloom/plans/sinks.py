@@ -96,12 +96,14 @@ def write_ml_table(
     split_col: str = "split",
     partitions: int | None = None,
     model_width: int | None = None,
+    prepartitioned: bool = False,
 ) -> int:
     """One partitioned write for all parts; readers prune on ``split``. Returns the row count.
 
     ``model_width`` publishes the model scripts' form instead: vectors
     zero-padded to that width and named ``POS_vector``/``Patho_Vector``, the
-    label named ``ClinSigSimple``.
+    label named ``ClinSigSimple``. ``prepartitioned`` means the caller already
+    spread the rows to the dense width (e.g. the context step did).
 
     Densifying grows a row by ~``8n`` bytes, so the task count must follow the
     dense size, not the sparse input's partitioning or the cluster's shuffle
@@ -119,10 +121,12 @@ def write_ml_table(
     if not dense:
         return write_parquet(rows, path, partition_by=[split_col])
     spark = rows.sparkSession
-    if partitions is None:
-        rows = stage(rows, "ml_sparse")
-        partitions = dense_partitions(rows.count(), n)
-    out = with_dense_vectors(rows.repartition(partitions, *ML_KEY_COLUMNS), n)
+    if not prepartitioned:
+        if partitions is None:
+            rows = stage(rows, "ml_sparse")
+            partitions = dense_partitions(rows.count(), n)
+        rows = rows.repartition(partitions, *ML_KEY_COLUMNS)
+    out = with_dense_vectors(rows, n)
     if model_width:
         out = model_side_names(
             out.withColumns(
