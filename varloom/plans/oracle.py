@@ -121,15 +121,16 @@ def _with(select: str) -> str:
     return f"WITH {fixture_views_sql()},\n{STEPS.strip()}\n{select}"
 
 
-def _context_sql(scope: str) -> str:
+def _context_sql(scope: str, keep_list: bool = False) -> str:
     if scope == "within_split":
         match = "o.split = r.split AND "
     else:
         match = "o.split = 'train' AND "
+    extra = ", lst" if keep_list else ""
     return f"""
 SELECT name, NP_transcript, position, phenotype_list, is_pathogenic, split,
        coalesce(array_to_string(lst, ','), '') AS context_positions,
-       CAST(coalesce(len(lst), 0) AS BIGINT) AS n_context
+       CAST(coalesce(len(lst), 0) AS BIGINT) AS n_context{extra}
 FROM (
   SELECT r.*, (
     SELECT list_sort(list(DISTINCT TRY_CAST(o.position AS INTEGER))) FROM splits o
@@ -140,6 +141,13 @@ FROM (
 )"""
 
 
+# Dense vectors as strings of N digits: one-hot at the position; multi-hot at the context list.
+_ONE_HOT = f"(repeat('0', TRY_CAST(position AS INTEGER) - 1) || '1' || repeat('0', {N} - TRY_CAST(position AS INTEGER)))"
+_MULTI_HOT = (
+    f"array_to_string(list_transform(range(1, {N} + 1), "
+    "lambda i: CASE WHEN coalesce(list_contains(lst, i), false) THEN '1' ELSE '0' END), '')"
+)
+
 _REPORT = """round(100.0::DOUBLE * sum(correct) / count(*), 6) AS accuracy,
   round(avg(loss), 6) AS mean_loss"""
 
@@ -224,20 +232,19 @@ ORACLE: dict[str, str] = {
     "context_from_train": _with(_context_sql("from_train")),
     "mutation_vector": _with(
         f"""SELECT NP_transcript, position, phenotype_list, CAST({N} AS BIGINT) AS mutation_len,
-              CAST(TRY_CAST(position AS INTEGER) AS VARCHAR) AS mutation_hot, CAST(1 AS BIGINT) AS mutation_nonzero
+              {_ONE_HOT} AS mutation_bits
             FROM ph_one"""
     ),
     "context_vector": _with(
         f"""SELECT NP_transcript, position, phenotype_list, split, CAST({N} AS BIGINT) AS context_len,
-              context_positions AS context_hot, n_context AS context_sum
-            FROM ({_context_sql('within_split')})"""
+              {_MULTI_HOT} AS context_bits
+            FROM ({_context_sql('within_split', keep_list=True)})"""
     ),
     "ml_table": _with(_ML_TABLE),
     "two_channel_input": _with(
         f"""SELECT NP_transcript, position, phenotype_list, split, CAST(2 AS BIGINT) AS n_channels,
-              CAST({N} AS BIGINT) AS width, CAST(TRY_CAST(position AS INTEGER) AS VARCHAR) AS channel0_hot,
-              context_positions AS channel1_hot
-            FROM ({_context_sql('within_split')})"""
+              CAST({N} AS BIGINT) AS width, {_ONE_HOT} AS channel0_bits, {_MULTI_HOT} AS channel1_bits
+            FROM ({_context_sql('within_split', keep_list=True)})"""
     ),
     "full_variation_preview": _with(
         """SELECT * FROM full_var

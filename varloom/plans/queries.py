@@ -255,14 +255,18 @@ def context_from_train(spark, sf):
     return _context(spark, sf, "from_train")
 
 
+def _bits(v: F.Column) -> F.Column:
+    """A dense 0/1 vector as a string of ``n`` digits (native cast and join)."""
+    return F.array_join(v.cast("array<int>").cast("array<string>"), "")
+
+
 def mutation_vector(spark, sf):
     rows = _ml_rows(spark, sf)
     dense = vectors.mutation_dense(position_index(F.col("position")))
     return rows.select(*ML_KEY_COLUMNS, dense.alias("v")).select(
         *ML_KEY_COLUMNS,
         F.size("v").cast("long").alias("mutation_len"),
-        F.array_position("v", 1.0).cast("string").alias("mutation_hot"),
-        F.size(F.array_remove("v", 0.0)).cast("long").alias("mutation_nonzero"),
+        _bits(F.col("v")).alias("mutation_bits"),
     )
 
 
@@ -272,8 +276,7 @@ def context_vector(spark, sf):
     return rows.select(*ML_KEY_COLUMNS, "split", dense.alias("v")).select(
         *ML_KEY_COLUMNS, "split",
         F.size("v").cast("long").alias("context_len"),
-        vectors.join_ints(vectors.hot_positions(F.col("v"))).alias("context_hot"),
-        F.size(F.array_remove("v", 0)).cast("long").alias("context_sum"),
+        _bits(F.col("v")).alias("context_bits"),
     )
 
 
@@ -318,8 +321,8 @@ def two_channel_input(spark, sf):
         *ML_KEY_COLUMNS, "split",
         F.size("x").cast("long").alias("n_channels"),
         F.size(F.col("x")[0]).cast("long").alias("width"),
-        F.array_position(F.col("x")[0], 1.0).cast("string").alias("channel0_hot"),
-        vectors.join_ints(vectors.hot_positions(F.col("x")[1])).alias("channel1_hot"),
+        _bits(F.col("x")[0]).alias("channel0_bits"),
+        _bits(F.col("x")[1]).alias("channel1_bits"),
     )
 
 
