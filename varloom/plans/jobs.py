@@ -194,6 +194,8 @@ def run_etl(
         counts["ml"] = run_ml_dataset(spark, paths["full_variation"], paths["ml"], scope, split_key, dense)
     for name, rows in counts.items():
         log.info("wrote %s: %d rows to %s", name, rows, paths[name])
+    ids = missense.id_counts(spark.read.parquet(paths["missense_ids"])).first()
+    log.info("missense ids: %d, distinct: %d", ids["n_ids"], ids["n_distinct_ids"])
     return paths
 
 
