@@ -241,6 +241,10 @@ ORACLE: dict[str, str] = {
             FROM ({_context_sql('within_split', keep_list=True)})"""
     ),
     "ml_table": _with(_ML_TABLE),
+    "feature_projection": _with(
+        f"""SELECT position, context_positions, is_pathogenic
+            FROM ({_context_sql('within_split')}) WHERE split = 'test'"""
+    ),
     "two_channel_input": _with(
         f"""SELECT NP_transcript, position, phenotype_list, split, CAST(2 AS BIGINT) AS n_channels,
               CAST({N} AS BIGINT) AS width, {_ONE_HOT} AS channel0_bits, {_MULTI_HOT} AS channel1_bits

@@ -23,6 +23,7 @@ from varloom.operators import mapping, metrics, missense, phenotypes, split, var
 from varloom.plans import jobs, sinks
 from varloom.session import shared_path, stage
 from varloom.sources import fixtures, text
+from varloom.sources.parquet import read_features
 
 # ---------------------------------------------------------------------------
 # Inputs
@@ -296,6 +297,19 @@ def ml_table(spark, sf):
     )
 
 
+def feature_projection(spark, sf):
+    """Features and target of one part, read back from the written ML table
+    (column pruning and ``split`` partition pruning at the scan)."""
+    path = shared_path(spark, "ml_features")
+    sinks.write_ml_table(jobs.ml_frame(_full(spark, sf)), path, dense=False)
+    df = read_features(spark, path, ["position", "context_positions"], "is_pathogenic", splits=["test"])
+    return df.select(
+        "position",
+        vectors.join_ints(F.col("context_positions")).alias("context_positions"),
+        "is_pathogenic",
+    )
+
+
 def model_side_table(spark, sf):
     """The model scripts' column names over the ML rows (vectors kept sparse here)."""
     rows = jobs.ml_frame(_full(spark, sf))
@@ -412,6 +426,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mutation_vector": mutation_vector,
     "context_vector": context_vector,
     "ml_table": ml_table,
+    "feature_projection": feature_projection,
     "two_channel_input": two_channel_input,
     "full_variation_preview": full_variation_preview,
     "model_side_table": model_side_table,
