@@ -19,7 +19,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from varloom.operators import context as ctx_ops  # noqa: E402
 from varloom.operators import metrics, split  # noqa: E402

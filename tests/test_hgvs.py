@@ -1,6 +1,5 @@
 """Name parsing: the six patterns on representative HGVS names."""
 
-from pyspark.sql import functions as F
 
 from varloom.functions.hgvs import with_name_parts
 

@@ -1,9 +1,7 @@
 """Readers on real text files: VCF, FASTA, TSV, gzip."""
 
 import gzip
-import os
 
-from pyspark.sql import functions as F
 
 from varloom.operators.missense import missense_ids
 from varloom.sources import text
