@@ -86,6 +86,10 @@ def test_split_disjoint_complete_stable(spark):
     assert abs(counts["val"] / 3000 - 0.15) < 0.03
     by_protein = assign_split(df, key="protein").groupBy("NP_transcript").agg(F.countDistinct("split").alias("k"))
     assert by_protein.filter("k > 1").count() == 0
+    exploded = _full_rows(spark, [(f"n{i}", f"NP{i % 50}", str(i % 97), f"P{j}", 1) for i in range(500) for j in range(3)])
+    by_variant = assign_split(exploded, key="variant").groupBy("NP_transcript", "position").agg(
+        F.countDistinct("split").alias("k"))
+    assert by_variant.filter("k > 1").count() == 0
 
 
 def _brute_context(rows, scope):

@@ -23,10 +23,12 @@ from varloom.functions.hashing import bucket_label, hash_bucket, shuffle_key
 
 RATIO_TOLERANCE = 0.001
 
-# Key choices: the row triple (one variant-phenotype row per key) or the protein,
-# which keeps every row of a protein in one part (no leakage across parts).
+# Key choices: the row triple (one variant-phenotype row per key, as the original
+# row-level split); the variant, which keeps all phenotype rows of a variant in
+# one part; or the protein, which keeps every row of a protein in one part.
 SPLIT_KEYS = {
     "row": ML_KEY_COLUMNS,
+    "variant": ("NP_transcript", "position"),
     "protein": ("NP_transcript",),
 }
 
