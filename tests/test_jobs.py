@@ -12,7 +12,7 @@ from varloom.sources import text
 def _inputs(spark, tmp_path):
     d = str(tmp_path)
     text.write_tsv(q._fx(spark, SF_SMALL, "fx_variant_summary"), f"{d}/variant_summary")
-    q._write_vcf(spark, q._fx(spark, SF_SMALL, "fx_vcf"), f"{d}/clinvar_vcf")
+    q._write_vcf(spark, q._fx(spark, SF_SMALL, "fx_vcf"), f"{d}/variants_vcf")
     text.write_tsv(q._fx(spark, SF_SMALL, "fx_gene2accession"), f"{d}/gene2accession")
     q._write_fasta(q._fx(spark, SF_SMALL, "fx_protein"), f"{d}/protein_faa")
     return d
@@ -21,7 +21,7 @@ def _inputs(spark, tmp_path):
 def test_run_etl_matches_in_memory_composition(spark, tmp_path):
     d = _inputs(spark, tmp_path)
     paths = jobs.run_etl(
-        spark, f"{d}/variant_summary", f"{d}/clinvar_vcf", f"{d}/gene2accession", f"{d}/protein_faa",
+        spark, f"{d}/variant_summary", f"{d}/variants_vcf", f"{d}/gene2accession", f"{d}/protein_faa",
         f"{d}/out", join_sequences=True, prepare_ml=True,
     )
     full = spark.read.parquet(paths["full_variation"])
@@ -67,7 +67,7 @@ def test_cli_etl_and_score(spark, tmp_path):
     from varloom.plans import cli
 
     d = _inputs(spark, tmp_path)
-    rc = cli.main(["etl", "--variant-summary", f"{d}/variant_summary", "--vcf", f"{d}/clinvar_vcf",
+    rc = cli.main(["etl", "--variant-summary", f"{d}/variant_summary", "--vcf", f"{d}/variants_vcf",
                    "--gene2accession", f"{d}/gene2accession", "--fasta", f"{d}/protein_faa",
                    "--out-dir", f"{d}/out", "--prepare-ml-dataset", "--sparse", "--context-scope", "from_train"])
     assert rc == 0

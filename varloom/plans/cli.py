@@ -1,7 +1,7 @@
 """Command-line entry, for ``spark-submit``.
 
     spark-submit --py-files varloom.zip varloom/plans/cli.py etl \\
-        --variant-summary vs.txt.gz --vcf clinvar.vcf.gz --gene2accession gene2accession.gz \\
+        --variant-summary vs.txt.gz --vcf variants.vcf.gz --gene2accession gene2accession.gz \\
         --fasta protein.faa.gz --out-dir hdfs:///runs/run1 --join-sequences --prepare-ml-dataset
 
     ... cli.py score --scores scores.parquet --by model split
