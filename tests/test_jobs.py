@@ -141,6 +141,12 @@ def test_cli_ml_and_fit(spark, tmp_path):
     assert cli.main(["fit", "--ml-table", f"{d}/ml", "--out", f"{d}/search", "--trials", "2"]) == 0
     out = spark.read.parquet(f"{d}/search").collect()
     assert len(out) == 2 and sum(r["is_best"] for r in out) == 1
+    # the dense table gives the same search result
+    assert cli.main(["ml", "--full-variation", f"{d}/full", "--out", f"{d}/ml_dense"]) == 0
+    assert cli.main(["fit", "--ml-table", f"{d}/ml_dense", "--out", f"{d}/search_dense", "--trials", "2"]) == 0
+    dense = spark.read.parquet(f"{d}/search_dense").collect()
+    key = lambda r: (r["trial"], r["n"], r["n_correct"])
+    assert sorted(map(key, dense)) == sorted(map(key, out))
 
 
 def test_model_side_table_for_model_scripts(spark, tmp_path):

@@ -15,7 +15,10 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.sql import functions as F
+
 from varloom.constants import MODEL_VECTOR_LENGTH, SEARCH_TRIALS, SPLIT_SEED
+from varloom.functions.vectors import hot_positions
 from varloom.operators import context as ctx_ops
 from varloom.operators import fit as fit_ops
 from varloom.operators import split as split_ops
@@ -56,7 +59,7 @@ def _parser() -> argparse.ArgumentParser:
     score.add_argument("--out")
 
     fit = sub.add_parser("fit", help="sparse ML table -> random search over logistic regression")
-    fit.add_argument("--ml-table", required=True, help="table written with --sparse")
+    fit.add_argument("--ml-table", required=True, help="ML table, dense or written with --sparse")
     fit.add_argument("--out", required=True)
     fit.add_argument("--trials", type=int, default=SEARCH_TRIALS)
     fit.add_argument("--seed", type=int, default=SPLIT_SEED)
@@ -88,6 +91,9 @@ def main(argv: list[str] | None = None) -> int:
             report.orderBy(*args.by).show(truncate=False)
     elif args.command == "fit":
         rows = spark.read.parquet(args.ml_table)
+        if "context_positions" not in rows.columns:
+            # A dense table: recover the sparse context from its vector.
+            rows = rows.withColumn("context_positions", hot_positions(F.col("context_vector")))
         estimator = fit_ops.perceptron(seed=args.seed) if args.model == "perceptron" else fit_ops.logistic()
         result = jobs.fit_and_select_frame(rows, estimator=estimator, trials=args.trials, seed=args.seed)
         sinks.write_parquet(result, args.out)
