@@ -8,7 +8,6 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from varloom.constants import MAX_SEQUENCE_LENGTH, ML_KEY_COLUMNS, MODEL_SIDE_NAMES
 from varloom.functions.sequence import position_index
@@ -34,11 +33,6 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] | None =
     return rows
 
 
-def empty_frame(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
-    """A typed empty frame, so a step with no input rows still writes a readable table."""
-    return spark.createDataFrame([], schema)
-
-
 def with_dense_vectors(rows: DataFrame, n: int = MAX_SEQUENCE_LENGTH, context_col: str = "context_positions") -> DataFrame:
     """Published ML columns: ``mutation_vector`` array<float> and ``context_vector``
     array<int>, both of width ``n``, built from the sparse forms."""
@@ -107,11 +101,12 @@ def write_ml_table(
 
     Densifying grows a row by ~``8n`` bytes, so the task count must follow the
     dense size, not the sparse input's partitioning or the cluster's shuffle
-    width (which would make thousands of tiny files). The sparse rows are first
-    written once to the shared folder (cheap, and a lineage cut before the
-    expensive step); their exact count, from parquet metadata, sets the task
-    count so each task densifies about ``DENSE_TASK_BYTES``. Rows are spread by
-    a hash of their key, unique within a part, hence balanced.
+    width (which would make thousands of tiny files): each task densifies about
+    ``DENSE_TASK_BYTES``. ``partitions`` is that task count when the caller
+    knows the row count (``dense_partitions``); otherwise the sparse rows are
+    first written once to the shared folder (cheap, and a lineage cut before the
+    expensive step) and counted from parquet metadata. Rows are spread by a hash
+    of their key, unique within a part, hence balanced.
 
     The dense arrays have non-null elements, which parquet can store as a flat
     two-level repeated field (Spark's ``writeLegacyFormat`` list layout) instead
