@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,15 +169,19 @@ def run_etl(
         "protein_sequences": f"{out}/protein_sequences.parquet",
         "full_variation": f"{out}/full_variation.parquet",
     }
-    counts = {
-        "missense_ids": sinks.write_parquet(missense_ids_frame(text.read_vcf(spark, vcf)), paths["missense_ids"]),
-        "transcript_map": sinks.write_parquet(
-            transcript_map_frame(read_gene2accession(spark, gene2accession)), paths["transcript_map"]
-        ),
-        "protein_sequences": sinks.write_parquet(
-            protein_sequences_frame(text.read_fasta(spark, fasta), prefix), paths["protein_sequences"]
-        ),
+    # JOB2-JOB4 are independent: submit them as concurrent Spark jobs so the
+    # smaller ones fill the slots the larger one leaves idle.
+    independent = {
+        "missense_ids": lambda: missense_ids_frame(text.read_vcf(spark, vcf)),
+        "transcript_map": lambda: transcript_map_frame(read_gene2accession(spark, gene2accession)),
+        "protein_sequences": lambda: protein_sequences_frame(text.read_fasta(spark, fasta), prefix),
     }
+    with ThreadPoolExecutor(max_workers=len(independent)) as pool:
+        futures = {
+            name: pool.submit(lambda name=name, build=build: sinks.write_parquet(build(), paths[name]))
+            for name, build in independent.items()
+        }
+        counts = {name: f.result() for name, f in futures.items()}
 
     features = variant_features_frame(read_variant_summary(spark, variant_summary))
     sequences = pq_src.read_table(spark, paths["protein_sequences"]) if join_sequences else None
