@@ -32,7 +32,7 @@ from pyspark.storagelevel import StorageLevel
 from varloom.constants import MAX_SEQUENCE_LENGTH, SEARCH_TRIALS, SPLIT_SEED
 from varloom.functions.sequence import position_index
 from varloom.functions.vectors import feature_tokens, token_vocabulary
-from varloom.operators.metrics import report, score_rows
+from varloom.operators.metrics import best_trial, report, score_rows
 
 FEATURES = "features"
 LABEL = "label"
@@ -111,7 +111,8 @@ def search(
     mode: str = "min",
 ) -> DataFrame:
     """Random search; one row per trial with its parameters, validation
-    accuracy and loss, and ``is_best`` on the chosen metric (ties: lowest trial)."""
+    accuracy and loss, and ``is_best`` on the chosen metric (ties: lowest trial),
+    picked by the same best-trial operator that reads run-metrics tables."""
     estimator = estimator or logistic()
     maps = random_param_maps(estimator, trials, seed)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
@@ -143,8 +144,16 @@ def search(
     spark = train.sparkSession
     param_df = spark.createDataFrame(params, "trial int, max_iter int, reg_param double, layers string")
     table = runs.join(param_df, "trial")
-    order = F.col(metric).asc() if mode == "min" else F.col(metric).desc()
-    best = table.orderBy(order, F.col("trial").asc()).limit(1).select(F.col("trial").alias("__best"))
+    # The run-metrics form (trial, epoch, loss, accuracy): each trial's last (only)
+    # validation result is at its last iteration; the best-trial pick reads it.
+    run_metrics = table.select(
+        "trial",
+        F.col("max_iter").alias("epoch"),
+        F.col("mean_loss").alias("loss"),
+        "accuracy",
+    )
+    pick_metric = {"mean_loss": "loss", "accuracy": "accuracy"}[metric]
+    best = best_trial(run_metrics, metric=pick_metric, mode=mode).select(F.col("trial").alias("__best"))
     return table.join(best, table["trial"] == best["__best"], "left").withColumn(
         "is_best", F.col("__best").isNotNull()
     ).drop("__best")
