@@ -196,3 +196,14 @@ def test_transcript_match_exact_or_ignoring_version(spark):
     loose = sorted(r["VariationID"] for r in map_to_proteins(variants, tmap, ignore_version=True).collect())
     assert exact == ["2"] and loose == ["1", "2"]
     assert sorted(r["VariationID"] for r in unmapped_variants(variants, tmap).collect()) == ["1", "3"]
+
+
+def test_context_with_many_spellings_of_one_position(spark):
+    spellings = ["7", "07", "007", "0007"]
+    rows = [(f"r{i}", "NP1", p, "P", 1, "train") for i, p in enumerate(spellings)] + [("x", "NP1", "3", "P", 1, "train")]
+    df = spark.createDataFrame(
+        rows, "name string, NP_transcript string, position string, phenotype_list string, is_pathogenic int, split string"
+    )
+    for partitions in (None, 3):
+        got = {r["position"]: list(r["context_positions"]) for r in context_positions(df, partitions=partitions).collect()}
+        assert got == {**{p: [3, 7] for p in spellings}, "3": [7]}

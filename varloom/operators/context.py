@@ -3,17 +3,19 @@ same protein and phenotype.
 
 Computed as a group aggregate, never row against row:
 
-1. collect the positions of the pathogenic rows per group, sorted — one
-   shuffle of (group key, position) pairs, combined map-side;
+1. count the pathogenic rows per (group, position), capped at 2 (combined
+   map-side), then collect those positions per group, sorted — at most ``2n``
+   entries per group for any input;
 2. join that list back to the rows (the group side is already partitioned on
    the join key, so only the rows are shuffled);
 3. drop one occurrence of the row's own position (when the row itself is
    counted) and de-duplicate — native array functions, no per-element lambda.
 
-Bounded state: rows are unique per (protein, position, phenotype) and keep
-``1 <= position <= n``, so a group holds at most ``n`` positions however many
-rows the protein has; no group can be a hot key for the join back. The result is
-sparse — a sorted ``array<int>`` — and dense vectors are made only by the sink.
+Bounded state: positions are ints in ``[1, n]``, so a group's list holds at most
+``2n`` entries however many rows the group has. Rows are unique per (protein,
+position, phenotype), so in practice a group also has at most about ``n`` rows
+and is no hot key for the join back. The result is sparse — a sorted
+``array<int>`` — and dense vectors are made only by the sink.
 
 Scopes:
 
@@ -66,10 +68,19 @@ def context_positions(
     if partitions:
         rows = rows.repartition(partitions, *part_cols)
 
-    per_group = (
+    # Pathogenic rows per (group, position), capped at 2: enough to remove one
+    # row's own occurrence exactly, and it bounds a group's list to 2n entries
+    # whatever the input (even many spellings of one position, such as "7" and
+    # "007"). The count combines map-side.
+    per_position = (
         rows.filter(pathogenic & in_source)
+        .groupBy(*part_cols, pos.alias("__p"))
+        .agg(F.least(F.count(F.lit(1)), F.lit(2)).alias("__m"))
+    )
+    per_group = (
+        per_position.select(*part_cols, F.explode(F.array_repeat(F.col("__p"), F.col("__m").cast("int"))).alias("__p"))
         .groupBy(*part_cols)
-        .agg(F.array_sort(F.collect_list(pos)).alias("__positions"))
+        .agg(F.array_sort(F.collect_list("__p")).alias("__positions"))
     )
     joined = rows.join(per_group, on=part_cols, how="left")
 
