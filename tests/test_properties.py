@@ -141,3 +141,23 @@ def test_tsv_reader_round_trip(spark, tmp_path_factory, rows):
     # that Spark's CSV reader skips: both as with the original's reader.
     want = sorted((tuple(v if v != "" else None for v in r) for r in rows if "\t".join(r).strip()), key=repr)
     assert got == want
+
+
+vcf_field = st.text(alphabet="ACGT.:=|,;_0123456789", min_size=1, max_size=12)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.lists(vcf_field, min_size=8, max_size=10), st.booleans()), min_size=1, max_size=25))
+def test_vcf_reader_matches_python(spark, tmp_path_factory, lines):
+    from varloom.sources.text import read_vcf
+
+    text = "##fileformat=VCFv4.1\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n"
+    for fields, meta in lines:
+        if meta:
+            text += "##meta=" + fields[0] + "\n"
+        text += "\t".join(fields) + "\n"
+    path = tmp_path_factory.mktemp("vcf") / "a.vcf"
+    path.write_text(text)
+    got = sorted(tuple(r) for r in read_vcf(spark, str(path)).collect())
+    want = sorted(tuple(line.split("\t")[:8]) for line in text.splitlines() if not line.startswith("#"))
+    assert got == want
