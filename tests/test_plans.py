@@ -63,3 +63,23 @@ def test_semi_join_reuses_dedupe_partitioning(spark):
     # the first operator under the left child is the dedupe aggregate, not a new exchange
     left = [l for l in lines[semi + 1: semi + 6] if l.strip()]
     assert "SortAggregate" in " ".join(left[:3]) and "Exchange" not in " ".join(left[:2])
+
+
+def test_ml_context_and_dense_sink_share_one_partitioning(spark):
+    from varloom.operators.context import context_positions
+    from varloom.plans import jobs, sinks
+    from varloom.session import stage
+
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for k in old:
+        spark.conf.set(k, "-1")
+    try:
+        parts = stage(jobs.ml_parts(q._full(spark, SF_SMALL)), "plan_test_rows")
+        df = sinks.with_dense_vectors(context_positions(parts, partitions=3))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    # the rows and their pathogenic subset are each shuffled once; nothing else
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert plan.count("REPARTITION_BY_NUM") == 2
