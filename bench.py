@@ -91,14 +91,15 @@ def main():
 
     for fn in bench.values():  # warm-up: JIT, class loading, file listing caches
         fn()
-    results = {}
-    for name, fn in bench.items():
-        times = []
-        for _ in range(repeats):
+    # Repeats go round-robin over the jobs, so a slow spell of the machine is
+    # spread over all of them instead of landing on one job's runs.
+    times: dict[str, list[float]] = {name: [] for name in bench}
+    for _ in range(repeats):
+        for name, fn in bench.items():
             t0 = time.perf_counter()
             fn()
-            times.append(time.perf_counter() - t0)
-        results[name] = round(statistics.median(times), 3)
+            times[name].append(time.perf_counter() - t0)
+    results = {name: round(statistics.median(ts), 3) for name, ts in times.items()}
 
     sf_match = re.search(r"sf([0-9.]+)", sf_dir)
     out = {
