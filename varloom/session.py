@@ -22,6 +22,11 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Finished jobs' shuffle files and broadcasts are released when the driver's
+    # references to them are garbage-collected; with a large driver heap that can
+    # take long and slows later jobs in the same session (measured: ~40 % after a
+    # full ETL, gone after a GC). A periodic GC every 5 minutes bounds that.
+    "spark.cleaner.periodicGC.interval": "5min",
 }
 
 
