@@ -58,7 +58,7 @@ def _parser() -> argparse.ArgumentParser:
     score.add_argument("--by", nargs="+", default=["model"])
     score.add_argument("--out")
 
-    fit = sub.add_parser("fit", help="sparse ML table -> random search over logistic regression")
+    fit = sub.add_parser("fit", help="ML table (dense or sparse) -> random search over a classifier")
     fit.add_argument("--ml-table", required=True, help="ML table, dense or written with --sparse")
     fit.add_argument("--out", required=True)
     fit.add_argument("--trials", type=int, default=SEARCH_TRIALS)
