@@ -159,3 +159,17 @@ def test_model_side_table_for_model_scripts(spark, tmp_path):
     assert {"POS_vector", "Patho_Vector", "ClinSigSimple"} <= set(ml.columns)
     widths = ml.select(F.size("POS_vector").alias("a"), F.size("Patho_Vector").alias("b")).distinct().collect()
     assert [(r["a"], r["b"]) for r in widths] == [(2056, 2056)]
+
+
+def test_cli_ignore_version_maps_at_least_the_exact_matches(spark, tmp_path):
+    from varloom.plans import cli
+
+    d = _inputs(spark, tmp_path)
+    base = ["etl", "--variant-summary", f"{d}/variant_summary", "--vcf", f"{d}/variants_vcf",
+            "--gene2accession", f"{d}/gene2accession", "--fasta", f"{d}/protein_faa"]
+    assert cli.main(base + ["--out-dir", f"{d}/exact"]) == 0
+    assert cli.main(base + ["--out-dir", f"{d}/loose", "--ignore-version"]) == 0
+    exact = spark.read.parquet(f"{d}/exact/full_variation.parquet")
+    loose = spark.read.parquet(f"{d}/loose/full_variation.parquet")
+    assert exact.exceptAll(loose).count() == 0
+    assert loose.count() >= exact.count() > 0
