@@ -173,3 +173,8 @@ def test_cli_ignore_version_maps_at_least_the_exact_matches(spark, tmp_path):
     loose = spark.read.parquet(f"{d}/loose/full_variation.parquet")
     assert exact.exceptAll(loose).count() == 0
     assert loose.count() >= exact.count() > 0
+    # each variant maps to each protein at most once (full_variation has no id, so check the mapped rows)
+    mapped = jobs.mapped_variants_frame(
+        q._features(spark, SF_SMALL), q._ids(spark, SF_SMALL), q._tmap(spark, SF_SMALL), ignore_version=True
+    )
+    assert mapped.count() == mapped.select("VariationID", "NP_transcript").distinct().count()

@@ -191,7 +191,8 @@ def test_transcript_match_exact_or_ignoring_version(spark):
     from varloom.operators.mapping import map_to_proteins, unmapped_variants
 
     variants = spark.createDataFrame([("1", "NM_1.2"), ("2", "NM_2.1"), ("3", None)], "VariationID string, transcription string")
-    tmap = spark.createDataFrame([("NM_1.3", "NP_1.1"), ("NM_2.1", "NP_2.1")], "NM_transcript string, NP_transcript string")
+    tmap = spark.createDataFrame([("NM_1.3", "NP_1.1"), ("NM_1.4", "NP_1.1"), ("NM_2.1", "NP_2.1")],
+                                 "NM_transcript string, NP_transcript string")
     exact = sorted(r["VariationID"] for r in map_to_proteins(variants, tmap).collect())
     loose = sorted(r["VariationID"] for r in map_to_proteins(variants, tmap, ignore_version=True).collect())
     assert exact == ["2"] and loose == ["1", "2"]

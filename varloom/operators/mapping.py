@@ -52,8 +52,18 @@ def _map_condition(variants: DataFrame, tmap: DataFrame, ignore_version: bool) -
 
 
 def map_to_proteins(variants: DataFrame, tmap: DataFrame, ignore_version: bool = False) -> DataFrame:
-    """Variants with their protein accession(s); a transcript with several proteins fans out."""
-    return variants.join(tmap, _map_condition(variants, tmap, ignore_version), "inner")
+    """Variants with their protein accession(s); a transcript with several proteins fans out.
+
+    With ``ignore_version`` the map's pairs are first made distinct on the
+    unversioned transcript, so a transcript listed under several versions maps
+    each variant to each protein once; ``NM_transcript`` is then the variant's
+    own transcript.
+    """
+    if not ignore_version:
+        return variants.join(tmap, _map_condition(variants, tmap, False), "inner")
+    pairs = tmap.select(_unversioned(F.col("NM_transcript")).alias("__nm"), "NP_transcript").distinct()
+    joined = variants.join(pairs, _unversioned(variants["transcription"]) == pairs["__nm"], "inner")
+    return joined.select(*variants.columns, F.col("transcription").alias("NM_transcript"), "NP_transcript")
 
 
 def unmapped_variants(variants: DataFrame, tmap: DataFrame, ignore_version: bool = False) -> DataFrame:
