@@ -121,3 +121,11 @@ def test_tsv_gzip_equals_plain(spark, tmp_path):
     a = sorted(map(tuple, text.read_tsv(spark, plain).collect()))
     b = sorted(map(tuple, text.read_tsv(spark, gz).collect()))
     assert a == b and len(a) == 50
+
+
+def test_tsv_mixed_plain_and_gzip_files(spark, tmp_path):
+    header = "Name\tVariationID\n"
+    a = _write(str(tmp_path / "a.txt"), header + "".join(f"A{i}\t{i}\n" for i in range(30)))
+    b = _write(str(tmp_path / "b.txt.gz"), header + "".join(f"B{i}\t{100 + i}\n" for i in range(20)), gz=True)
+    rows = text.read_tsv(spark, [a, b], columns=["VariationID"]).collect()
+    assert sorted(int(r[0]) for r in rows) == list(range(30)) + list(range(100, 120))
