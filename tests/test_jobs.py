@@ -178,3 +178,14 @@ def test_cli_ignore_version_maps_at_least_the_exact_matches(spark, tmp_path):
         q._features(spark, SF_SMALL), q._ids(spark, SF_SMALL), q._tmap(spark, SF_SMALL), ignore_version=True
     )
     assert mapped.count() == mapped.select("VariationID", "NP_transcript").distinct().count()
+
+
+def test_cli_etl_publishes_model_side_table(spark, tmp_path):
+    from varloom.plans import cli
+
+    d = _inputs(spark, tmp_path)
+    assert cli.main(["etl", "--variant-summary", f"{d}/variant_summary", "--vcf", f"{d}/variants_vcf",
+                     "--gene2accession", f"{d}/gene2accession", "--fasta", f"{d}/protein_faa",
+                     "--out-dir", f"{d}/out", "--prepare-ml-dataset", "--model-width", "2056"]) == 0
+    ml = spark.read.parquet(f"{d}/out/ml.parquet")
+    assert {"POS_vector", "Patho_Vector", "ClinSigSimple", "split"} <= set(ml.columns) and ml.count() > 0

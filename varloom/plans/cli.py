@@ -43,6 +43,8 @@ def _parser() -> argparse.ArgumentParser:
     etl.add_argument("--ignore-version", action="store_true", help="match transcripts without the .N version")
     etl.add_argument("--sparse", action="store_true", help="write positions instead of dense vectors")
     etl.add_argument("--protein-prefix", default="NP_")
+    etl.add_argument("--model-width", type=int, default=None,
+                     help=f"ML table with POS_vector/Patho_Vector/ClinSigSimple padded to this width ({MODEL_VECTOR_LENGTH} for the model scripts)")
 
     ml = sub.add_parser("ml", help="full variation table -> split ML table")
     ml.add_argument("--full-variation", required=True)
@@ -76,7 +78,7 @@ def main(argv: list[str] | None = None) -> int:
             spark, args.variant_summary, args.vcf, args.gene2accession, args.fasta, args.out_dir,
             join_sequences=args.join_sequences, prepare_ml=args.prepare_ml_dataset, scope=args.context_scope,
             split_key=args.split_key, ignore_version=args.ignore_version, dense=not args.sparse,
-            prefix=args.protein_prefix,
+            prefix=args.protein_prefix, model_width=args.model_width,
         )
         for name, path in paths.items():
             print(f"{name}\t{path}")

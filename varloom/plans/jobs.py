@@ -160,6 +160,7 @@ def run_etl(
     ignore_version: bool = False,
     dense: bool = True,
     prefix: str = PROTEIN_PREFIX,
+    model_width: int | None = None,
 ) -> dict[str, str]:
     """Run JOB1–JOB6 from the four input files; return the written table paths."""
     out = out_dir.rstrip("/")
@@ -196,7 +197,9 @@ def run_etl(
 
     if prepare_ml:
         paths["ml"] = f"{out}/ml.parquet"
-        counts["ml"] = run_ml_dataset(spark, paths["full_variation"], paths["ml"], scope, split_key, dense)
+        counts["ml"] = run_ml_dataset(
+            spark, paths["full_variation"], paths["ml"], scope, split_key, dense, model_width=model_width
+        )
     for name, rows in counts.items():
         log.info("wrote %s: %d rows to %s", name, rows, paths[name])
     ids = missense.id_counts(spark.read.parquet(paths["missense_ids"])).first()
