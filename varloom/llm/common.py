@@ -7,16 +7,27 @@ instead of recomputing, and every later branch of a plan starts from a file.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.session import shared_path
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Key sets up to this many bytes (16 per key) are broadcast; larger ones are shuffled.
 BROADCAST_KEY_BYTES = 32 << 20
 
 
+def importable(spark: SparkSession) -> None:
+    """Put this library on the Python workers' path, wherever the driver found it."""
+    path = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in path:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, path)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -24,7 +35,8 @@ class Scratch:
     """Scratch tables of one run; ``drop`` removes those no later step reads."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.tables = spark, shared_path(spark, name), {}
+        importable(spark)
+        self.spark, self.root = spark, shared_path(spark, name)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -46,14 +46,14 @@ SEED = 5
 _BITS = 17
 BLOCK = 1 << _BITS
 #: Bytes of fragments in one suffix index, and fragments of one anchor before it is dealt on.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 18
 GROUP_FRAGMENTS = 1_000
 _SEPARATOR = 0xFF  # occurs in no UTF-8 text
 
 _rng = np.random.default_rng(SEED)
 _CODE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xC2B2AE3D27D4EB4F
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _LOW = np.uint64(BLOCK - 1)
 
 
@@ -78,12 +78,12 @@ def _window_minima(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def block_fragments(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor hash, first window, windows) of each fragment of a block; texts lie at starts..ends."""
+    """(anchor hash, first window, windows, content hash) of each fragment; texts lie at starts..ends."""
     data = np.frombuffer(raw, np.uint8)
     n = len(data)
     empty = np.zeros(0, np.int64)
     if n < LENGTH:
-        return np.zeros(0, np.uint64), empty, empty
+        return np.zeros(0, np.uint64), empty, empty, np.zeros(0, np.uint64)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_CODE[data] * _POWER[:n], dtype=np.uint64)))
     h = (sums[GRAM:] - sums[:-GRAM]) * _INVERSE[: n - GRAM + 1]
     h ^= h >> np.uint64(29)
@@ -104,7 +104,10 @@ def block_fragments(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     stop = np.append(first[1:], len(least))
     over = np.nonzero(inside[1:-1] & ~inside[2:])[0] + 1  # ends of the texts' windows
     stop = np.minimum(stop, over[np.searchsorted(over, first, "right")]) if len(first) else stop
-    return least[first] >> np.uint64(_BITS), first, stop - first
+    content = (sums[stop + LENGTH - 1] - sums[first]) * _INVERSE[first]
+    content ^= content >> np.uint64(30)
+    content *= _MIX2
+    return least[first] >> np.uint64(_BITS), first, stop - first, content >> np.uint64(16)
 
 
 _RECORD = np.dtype([("mh", "<u8"), ("fh", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("n", "<u1")])
@@ -123,15 +126,11 @@ def _batch_fragments(ids: list[int], texts: Iterable[str | None]) -> np.ndarray:
             return
         raw = b"".join(parts)
         own = np.array(owners, np.int64).reshape(-1, 4)
-        mh, at, n = block_fragments(raw, own[:, 2], own[:, 3])
+        mh, at, n, content = block_fragments(raw, own[:, 2], own[:, 3])
         record = np.zeros(len(mh), _RECORD)
         which = np.searchsorted(own[:, 2], at, "right") - 1
-        digest = xxhash.xxh3_64_intdigest
-        stops = at + n + (LENGTH - 1)
         record["mh"] = mh
-        record["fh"] = np.fromiter(
-            (digest(raw[a:b]) >> 16 for a, b in zip(at.tolist(), stops.tolist())), np.uint64, len(mh)
-        )
+        record["fh"] = content
         record["doc"] = own[which, 0]
         record["at"] = at - own[which, 2] + own[which, 1]
         record["n"] = n
@@ -194,7 +193,10 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def _settle(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sorted records, whether an equal fragment stands earlier)."""
-    r = r[np.lexsort((r["at"], r["doc"], r["fh"], r["mh"]))]
+    # One key for anchor and content; should two contents of an anchor share its low bits, their
+    # records may mix and count as different ones, which the suffix index then settles.
+    key = (r["mh"] << np.uint64(_BITS)) | (r["fh"] & _LOW)
+    r = r[np.lexsort((r["at"], r["doc"], key))]
     same = np.zeros(len(r), bool)
     same[1:] = (r["mh"][1:] == r["mh"][:-1]) & (r["fh"][1:] == r["fh"][:-1])
     # The first of each kind; records at its own place (repeated rows) are not earlier than it.
@@ -297,14 +299,21 @@ def _pieces_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def sorted_suffixes(text: np.ndarray) -> np.ndarray:
-    """The suffixes' order by their first 128 bytes, by prefix doubling from 8-byte words."""
+def first_bytes(text: np.ndarray) -> np.ndarray:
+    """The first 8 bytes of each suffix as one integer."""
     n = len(text)
     padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
-    rank = np.zeros(n, np.uint64)
+    key = np.zeros(n, np.uint64)
     for i in range(8):
-        rank = (rank << np.uint64(8)) | padded[i : i + n]
-    order = np.argsort(rank, kind="stable")
+        key = (key << np.uint64(8)) | padded[i : i + n]
+    return key
+
+
+def sorted_suffixes(text: np.ndarray) -> np.ndarray:
+    """The suffixes' order by their first 128 bytes, by prefix doubling from 8-byte words."""
+    n = len(text)
+    rank = first_bytes(text)
+    order = np.argsort(rank)
     step = 8
     while True:
         ordered = rank[order]
@@ -315,7 +324,7 @@ def sorted_suffixes(text: np.ndarray) -> np.ndarray:
         later = np.full(n, -1, np.int64)
         later[: n - step] = number[step:] if step < n else number[:0]
         rank = (number.astype(np.uint64) << np.uint64(32)) | (later + 1).astype(np.uint64)
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         step *= 2
 
 
@@ -326,12 +335,13 @@ def prefix_groups(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np
     extended by each byte c before it, through the Burrows-Wheeler transform, to the
     interval of cw. Strings are handled by length, so a boundary between suffixes is
     found first at the length of their common prefix; an interval whose end is known
-    already is not followed. Boundaries of ``depth`` or more are never derived. Groups
-    that hold the separator within their first bytes may stay unsplit.
+    already is not followed. Boundaries of ``depth`` or more are never derived. The
+    search starts where it stands after the lengths 0 to 7, which the sort keys show.
+    Groups that hold the separator within their first bytes may stay unsplit.
     """
     n = len(text)
     order = sorted_suffixes(text)
-    before = text[order - 1]  # the transform; the byte before the first suffix is the last one
+    before = text[order - 1].astype(np.int64)  # the transform; before the first suffix stands the last byte
     by_byte = np.argsort(before, kind="stable")
     target = np.empty(n, np.int64)
     target[by_byte] = np.arange(n)
@@ -342,18 +352,22 @@ def prefix_groups(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np
 
     bound = np.zeros(n + 1, bool)
     bound[[0, n]] = True
-    low, high = np.array([0]), np.array([n])
-    for _ in range(depth):
+    key = first_bytes(text)[order]
+    bound[1:-1] = key[1:] != key[:-1]
+    edges = np.nonzero(bound)[0]
+    fresh = key[edges[1:-1] - 1] >> np.uint64(8) == key[edges[1:-1]] >> np.uint64(8)  # a common prefix of 7
+    low, high = edges[:-2][fresh], edges[1:-1][fresh]
+    for _ in range(8, depth):
         size = high - low
         which = np.repeat(np.arange(len(low)), size)
-        place = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + low[which]
+        place = np.arange(len(which)) + np.repeat(low - (np.cumsum(size) - size), size)
         byte = before[place]
-        last = (following[place] >= high[which]) & (byte != _SEPARATOR)
-        first = (previous[place] < low[which]) & (byte != _SEPARATOR)
+        last = (following[place] >= np.repeat(high, size)) & (byte != _SEPARATOR)
+        first = (previous[place] < np.repeat(low, size)) & (byte != _SEPARATOR)
 
         def ends(mask: np.ndarray) -> np.ndarray:
-            chosen = place[mask]
-            return target[chosen[np.lexsort((byte[mask], which[mask]))]]
+            # By string and byte; each pair occurs once, so any sort will do.
+            return target[place[mask][np.argsort((which[mask] << 8) | byte[mask])]]
 
         left, right = ends(first), ends(last) + 1
         new = ~bound[right]
