@@ -2,9 +2,9 @@
 
 Each step replaces the edges by edges to a smaller neighbour: large-star links every
 larger neighbour of a node to the smallest node around it, small-star does so for the
-node and its smaller neighbours. Steps alternate until the edges no longer change;
-then every node points at the smallest node of its component. The edges stay in
-tables; a hub's minimum is a map-side aggregate.
+node and its smaller neighbours. Steps alternate until only stars are left; then every
+node points at the smallest node of its component. The edges stay in tables; a hub's
+minimum is a map-side aggregate.
 """
 
 from __future__ import annotations
@@ -32,11 +32,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.unionByName(minima.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.min("u")
-    ).first()
-    return tuple(row)
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one smaller neighbour, which has none itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    )
+    open_ = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return open_.filter("down > 1 OR (down = 1 AND up = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
@@ -44,14 +46,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
 
     Edges of a node to itself count for nothing; an edge table without rows gives none.
     """
-    now = scratch.stage(edges.filter("u <> v").select("u", "v").distinct(), f"{name}_0")
-    mark, step = _mark(now), 0
-    while True:
+    down = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    now, step = scratch.stage(down.distinct(), f"{name}_0"), 0
+    while not _are_stars(now):
         step += 1
         now = scratch.stage(_small_star(_large_star(now)), f"{name}_{step}")
         scratch.drop(f"{name}_{step - 1}")
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -8,7 +8,7 @@ on all ``ROWS`` minima of a band share a bucket. A pair in a bucket is checked o
 signatures, then confirmed on the full sets: intersection / union >= ``percent``/100.
 
 No bucket is expanded into all its pairs. Per round, each bucket names hubs (one,
-then twice as many as the round before) and every member is compared with them;
+then ``HUB_GROWTH`` times as many as the round before) and every member is compared with them;
 components are taken from all links so far, and only members that no path links yet
 go on: a pair inside one component cannot change the result, a pair whose distances
 to the bucket's first hub differ by more than the limit cannot be a link (Jaccard
@@ -39,6 +39,7 @@ ROWS, BANDS = 6, 40
 SEED = 11
 #: Signatures that agree on less than the limit by this many standard errors are rejected.
 SIGNATURE_MARGIN = 6.0
+HUB_GROWTH = 64
 NO_ID = -(2**63)
 
 _rng = np.random.default_rng(SEED)
@@ -257,7 +258,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         pairs = _pairs(members, hubs, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["hub", "id"], "left_anti")
-        compared = scratch.stage(pairs, f"pairs_{step}").join(known, "id").join(hub_side, "hub")
+        compared = pairs.join(known, "id").join(hub_side, "hub")
         found = compared.mapInArrow(_confirm(width, percent), "hub long, id long, linked boolean, similarity double")
         found = found.groupBy("hub", "id").agg(F.max("linked").alias("linked"), F.max("similarity").alias("similarity"))
         found = scratch.stage(found, f"tested_{step}")
@@ -265,8 +266,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         edges = tested.filter("linked").select(F.col("hub").alias("u"), F.col("id").alias("v")).unionByName(same_id)
         links = connected_components(edges, scratch, f"links_{step}")
         members = scratch.stage(_still_open(members, hubs, links, tested), f"members_{step + 1}")
-        scratch.drop(f"members_{step}", f"pairs_{step}")
-        step, hubs = step + 1, hubs * 2
+        scratch.drop(f"members_{step}")
+        step, hubs = step + 1, hubs * HUB_GROWTH
         if members.isEmpty():
             break
     scratch.drop("known", "ids")

@@ -263,7 +263,9 @@ def _resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = first[once]
     _, group, size = np.unique(first["mh"], return_inverse=True, return_counts=True)
     open_ = size[group] > 1
-    parts = -(-size[group][open_] // GROUP_FRAGMENTS)
+    # A dealt anchor sends each window by itself: about GROUP_FRAGMENTS windows a part.
+    windows = np.bincount(group, weights=first["n"]).astype(np.int64) if len(first) else size
+    parts = np.where(size > GROUP_FRAGMENTS, -(-windows // GROUP_FRAGMENTS), 1)[group][open_]
     yield _found_batch(first[open_], first["mh"][open_], parts)
 
 
