@@ -4,31 +4,24 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
-
-NO_ORACLE = {"fit_logistic", "search_best"}
-
+from varloom.plans.oracle import ORACLE
+from varloom.plans.queries import QUERIES
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_every_query_has_oracle_except_ml_fitting():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == NO_ORACLE
+def test_every_query_of_the_workload_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE) and set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_duckdb(spark, name):
     from tools.check_oracle import compare
 
     assert compare(spark, SF_SMALL, [name], verbose=True) == []
 
 
-def test_fit_logistic_reports_every_split(spark):
-    rows = entry.queries()["fit_logistic"](spark, SF_SMALL).collect()
-    assert sorted(r["split"] for r in rows) == ["test", "train", "val"]
-    assert all(0.0 <= r["accuracy"] <= 100.0 for r in rows)
-
-
 def test_search_flags_one_best_trial(spark):
     from varloom.plans import jobs, queries as q
 

@@ -99,15 +99,97 @@ def test_read_features_projects_and_prunes(spark, tmp_path):
     assert df.count() == spark.read.parquet(path).filter("split = 'test'").count()
 
 
-def test_local_batches_stream_in_fixed_sizes(spark):
-    from varloom.sources.parquet import local_batches
-
-    df = spark.range(1000).selectExpr("id", "id % 2 AS label").repartition(7)
-    sizes, total = [], 0
-    for batch in local_batches(df, 256):
-        sizes.append(len(batch["id"]))
-        total += sum(batch["label"])
-    assert sizes == [256, 256, 256, 232] and total == 500
+def test_feature_batches_run_on_the_executors_in_fixed_sizes(spark):
+    import pandas as pd
+
+    from varloom.sources.parquet import map_feature_batches
+
+    df = spark.range(0, 1000, 1, 2).selectExpr("id", "id % 2 AS label")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        out = map_feature_batches(
+            df, lambda b: pd.DataFrame({"n": [len(b)], "total": [b["label"].sum()]}), "n long, total long", 256
+        ).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(r["n"] for r in out) == [244, 244, 256, 256] and sum(r["total"] for r in out) == 500
+
+
+def test_too_narrow_vectors_raise(spark, tmp_path):
+    import pytest
+
+    from varloom.plans import sinks
+
+    df = spark.createDataFrame([([1.0, 0.0],)], "v array<float>")
+    assert list(df.select(sinks.pad_vector("v", 3, "float")).first()[0]) == [1.0, 0.0, 0.0]
+    with pytest.raises(Exception, match="longer than 1"):
+        df.select(sinks.pad_vector("v", 1, "float")).collect()
+    with pytest.raises(ValueError):
+        sinks.write_ml_table(jobs.ml_frame(q._full(spark, SF_SMALL)), str(tmp_path / "x"), model_width=10)
+
+
+def test_score_prints_every_group(spark, tmp_path, capsys):
+    from varloom.plans import cli
+
+    rows = [(f"m{i}", "test", 0.5, i % 2) for i in range(60)]
+    spark.createDataFrame(rows, "model string, split string, logit double, label int").write.parquet(str(tmp_path / "s"))
+    assert cli.main(["score", "--scores", str(tmp_path / "s")]) == 0
+    said = capsys.readouterr().out
+    assert all(f"m{i}\t" in said for i in range(60))
+
+
+def test_fit_saves_a_model_that_scores_alike_after_reload(spark, tmp_path):
+    from varloom.operators import fit as fit_ops
+    from varloom.plans import cli, sinks
+
+    d = str(tmp_path)
+    sinks.write_parquet(q._full(spark, SF_SMALL), f"{d}/full")
+    assert cli.main(["ml", "--full-variation", f"{d}/full", "--out", f"{d}/ml", "--model-width", "2056"]) == 0
+    assert cli.main(["fit", "--ml-table", f"{d}/ml", "--out", f"{d}/search", "--trials", "2", "--model-out", f"{d}/best"]) == 0
+    rows = fit_ops.with_features(fit_ops.ml_rows_of(spark.read.parquet(f"{d}/ml")))
+    found = jobs.fit_and_select(fit_ops.ml_rows_of(spark.read.parquet(f"{d}/ml")), trials=2)
+    again = fit_ops.load_model(spark, f"{d}/best")
+    pick = lambda m: sorted(map(tuple, fit_ops.logits(m, rows).select("NP_transcript", "position", "phenotype_list", "logit").collect()))
+    fit_ops.save_model(found.model, f"{d}/copy")
+    assert pick(fit_ops.load_model(spark, f"{d}/copy")) == pick(found.model)
+    assert len(pick(again)) == rows.count()
+
+    assert cli.main(["evaluate", "--ml-table", f"{d}/ml", "--model", f"a={d}/best", f"b={d}/copy",
+                     "--out", f"{d}/report", "--scores-out", f"{d}/scores"]) == 0
+    report = spark.read.parquet(f"{d}/report").collect()
+    assert {(r["model"], r["split"]) for r in report} == {(m, s) for m in "ab" for s in ("train", "val", "test")}
+    assert spark.read.parquet(f"{d}/scores").count() == 2 * rows.count()
+    one = jobs.score_stored_models(spark, f"{d}/ml", {"a": f"{d}/best"}, splits=["test"])
+    assert one.select("split").distinct().collect()[0][0] == "test"
+
+
+def test_perceptron_reloads(spark, tmp_path):
+    from varloom.operators import fit as fit_ops
+
+    rows = fit_ops.with_features(jobs.ml_frame(q._full(spark, SF_SMALL)))
+    model = fit_ops.perceptron(hidden=(4,), max_iter=2).fit(rows)
+    fit_ops.save_model(model, str(tmp_path / "m"))
+    a, b = (fit_ops.logits(m, rows).select("logit").limit(50).collect() for m in (model, fit_ops.load_model(spark, str(tmp_path / "m"))))
+    assert a == b
+
+
+def test_null_labels_are_left_out_and_counted(spark):
+    from varloom.operators import fit as fit_ops
+
+    rows = spark.createDataFrame([("5", [1, 2], 1), ("6", [1], None)], "position string, context_positions array<int>, is_pathogenic int")
+    assert fit_ops.with_features(rows).count() == 1 and fit_ops.unlabelled(rows) == 1
+
+
+def test_sequences_of_an_earlier_run_are_reused(spark, tmp_path):
+    d = _inputs(spark, tmp_path)
+    base = (f"{d}/variant_summary", f"{d}/variants_vcf", f"{d}/gene2accession")
+    first = jobs.run_etl(spark, *base, f"{d}/protein_faa", f"{d}/one", join_sequences=True)
+    second = jobs.run_etl(spark, *base, None, f"{d}/two", join_sequences=True, sequences_path=first["protein_sequences"],
+                          prepare_ml=True, n=64, condition={"significances": ["Pathogenic"]})
+    a, b = (spark.read.parquet(p["full_variation"]) for p in (first, second))
+    assert 0 < b.count() < a.count() and b.exceptAll(a).count() == 0
+    assert spark.read.parquet(second["ml"]).select(F.size("mutation_vector")).distinct().collect()[0][0] == 64
 
 
 def test_dense_table_reads_back_in_spark_and_arrow(spark, tmp_path):

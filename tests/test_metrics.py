@@ -3,7 +3,10 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from varloom.functions.scoring import predicted_label
+from varloom.operators import metrics
 from varloom.operators.metrics import batch_mean_loss, best_epoch, best_trial, report, score_rows
 
 
@@ -57,3 +60,20 @@ def test_best_trial_uses_last_result(spark):
     )
     assert best_trial(runs, "loss", "min").first()["trial"] == 2
     assert best_trial(runs, "accuracy", "max").first()["trial"] == 2
+
+
+def test_predictions_at_the_edges(spark):
+    rows = [(float("nan"), 0), (1e-17, 0), (0.0, 0), (1e-3, 1), (-1e-3, 0), (800.0, 1), (-800.0, 0), (float("inf"), 1)]
+    df = spark.createDataFrame(rows, "logit double, want int")
+    got = metrics.score_rows(df, label="want").select("predicted", "want").collect()
+    assert all(r["predicted"] == r["want"] for r in got)
+    null = spark.createDataFrame([(None,)], "logit double").select(predicted_label(F.col("logit")).alias("p"))
+    assert null.first()["p"] is None
+
+
+def test_last_results_of_a_repeated_epoch_are_the_largest(spark):
+    rows = [(1, 2, 0.3, 5.0), (1, 2, 0.4, 1.0), (1, 1, 9.0, 9.0), (2, 1, None, 1.0)]
+    df = spark.createDataFrame(rows, "trial int, epoch int, loss double, accuracy double")
+    for parts in (1, 4):
+        got = {tuple(r) for r in metrics.last_results(df.repartition(parts)).collect()}
+        assert got == {(1, 2, 0.4, 1.0), (2, 1, None, 1.0)}

@@ -83,3 +83,33 @@ def test_ml_context_and_dense_sink_share_one_partitioning(spark):
     # the rows and their pathogenic subset are each shuffled once; nothing else
     assert plan.count("Exchange hashpartitioning") == 2
     assert plan.count("REPARTITION_BY_NUM") == 2
+
+
+def test_names_without_a_transcript_are_dropped_before_the_shuffle(spark):
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for k in old:
+        spark.conf.set(k, "-1")
+    try:
+        plan = _plan(q.mapped_variants(spark, SF_SMALL))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    lines = plan.split("\n")
+    at = next(i for i, l in enumerate(lines) if "Exchange hashpartitioning(transcription" in l)
+    assert any("Filter" in l and ", 1) = ))" in l for l in lines[at : at + 8])
+
+
+def test_inputs_are_not_shuffled_to_spread_them(spark):
+    assert "REPARTITION_BY_NUM" not in _plan(q.variant_features(spark, SF_SMALL))
+
+
+def test_search_reads_the_validation_rows_once(spark):
+    from varloom.operators import fit
+    from varloom.plans import jobs
+    from varloom.session import stage
+
+    rows = stage(fit.with_features(jobs.ml_frame(q._full(spark, SF_SMALL))), "plan_features")
+    for trials in (1, 4):
+        fitted = {i: fit.logistic(max_iter=1).fit(rows) for i in range(trials)}
+        scored = fit.validation_scores(fitted, rows.filter("split = 'val'"))
+        assert _plan(fit.report(scored, by=["trial"])).count("FileScan") == 1

@@ -129,3 +129,28 @@ def test_tsv_mixed_plain_and_gzip_files(spark, tmp_path):
     b = _write(str(tmp_path / "b.txt.gz"), header + "".join(f"B{i}\t{100 + i}\n" for i in range(20)), gz=True)
     rows = text.read_tsv(spark, [a, b], columns=["VariationID"]).collect()
     assert sorted(int(r[0]) for r in rows) == list(range(30)) + list(range(100, 120))
+
+
+def test_names_without_a_codec_raise(spark, tmp_path):
+    import pytest
+
+    _write(str(tmp_path / "d" / "a.vcf.bgz") if (tmp_path / "d").mkdir() is None else "", VCF, gz=True)
+    for path in (str(tmp_path / "d" / "a.vcf.bgz"), str(tmp_path / "d")):
+        with pytest.raises(ValueError, match="rename"):
+            text.read_vcf(spark, path)
+
+
+def test_a_folder_of_gzip_files_is_spread(spark, tmp_path):
+    (tmp_path / "g").mkdir()
+    _write(str(tmp_path / "g" / "a.vcf.gz"), VCF, gz=True)
+    one = text.read_vcf(spark, str(tmp_path / "g" / "a.vcf.gz"))
+    folder = text.read_vcf(spark, str(tmp_path / "g"))
+    width = spark.sparkContext.defaultParallelism
+    for df in (one, folder):
+        assert f"Exchange RoundRobinPartitioning({width})" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_vcf_dot_is_no_id(spark, tmp_path):
+    lines = "#CHROM\n1\t5\t.\tA\tG\t.\t.\tMC=SO:1|missense_variant\n1\t6\t77\tA\tG\t.\t.\tMC=SO:1|missense_variant\n"
+    vcf = text.read_vcf(spark, _write(str(tmp_path / "x.vcf"), lines))
+    assert sorted((r["ID"] or "", r["QUAL"]) for r in vcf.collect()) == [("", "."), ("77", ".")]

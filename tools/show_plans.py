@@ -66,9 +66,8 @@ def main():
     print("# Physical plans of the headline jobs\n")
     print("Generated by `python tools/show_plans.py`: planned physical operators (exchanges, joins, aggregates,")
     print("scans with their pushed filters and read schemas), with broadcast joins switched off to show the shape")
-    print("when no side is small. Expression ids are stripped. `REPARTITION_BY_NUM` exchanges over `lineitem` and")
-    print("`part` spread the single-row-group test tables (input build, not job work), and the `DISTINCT` over")
-    print("`id, description, sequence` belongs to the protein input relation; every other exchange is the job's own.\n")
+    print("when no side is small. Expression ids are stripped. The `DISTINCT` over `id, description, sequence`")
+    print("belongs to the protein input relation; every other exchange is the job's own.\n")
     for title, df in shown.items():
         plan = df._jdf.queryExecution().executedPlan().toString()
         print(f"## {title}\n")

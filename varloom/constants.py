@@ -90,8 +90,26 @@ TWO_WAY_NAMES = ("train", "val")
 SCORE_BATCH_SIZE = 256
 DECISION_THRESHOLD = 0.5
 
-# Hyper-parameter search budget.
+# Hyper-parameter search: budget, iterations and hidden layer shapes to draw from.
 SEARCH_TRIALS = 15
+SEARCH_ITERATIONS = (8, 10, 12)
+SEARCH_HIDDEN_LAYERS = ((512, 256, 128), (1024, 512, 128), (256, 128, 64))
+
+# The full variation table: published column name and the column it comes from, in order.
+FULL_VARIATION_SOURCES = (
+    ("name", "Name"),
+    ("gene_symbol", "GeneSymbol"),
+    ("phenotype_ids", "PhenotypeIDS"),
+    ("phenotype_list", "PhenotypeList"),
+    ("NM_transcript", "transcription"),
+    ("NP_transcript", "NP_transcript"),
+    ("REF_amino_acid", "REF"),
+    ("ALT_amino_acid", "ALT"),
+    ("position", "POS"),
+    ("is_pathogenic", "ClinSigSimple"),
+)
+# Of these, the columns translated to one-letter residue codes.
+RESIDUE_COLUMNS = ("REF_amino_acid", "ALT_amino_acid")
 
 # ---------------------------------------------------------------------------
 # Column contracts
@@ -114,19 +132,6 @@ ACCESSION_STATUS_COL = "status"
 ACCESSION_RNA_COL = "RNA_nucleotide_accession.version"
 ACCESSION_PROTEIN_COL = "protein_accession.version"
 
-FULL_VARIATION_COLUMNS = (
-    "name",
-    "gene_symbol",
-    "phenotype_ids",
-    "phenotype_list",
-    "NM_transcript",
-    "NP_transcript",
-    "REF_amino_acid",
-    "ALT_amino_acid",
-    "position",
-    "is_pathogenic",
-)
-
 ML_KEY_COLUMNS = ("NP_transcript", "position", "phenotype_list")
 ML_BASE_COLUMNS = ("name", "NP_transcript", "position", "phenotype_list", "is_pathogenic")
 

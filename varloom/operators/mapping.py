@@ -54,11 +54,16 @@ def _map_condition(variants: DataFrame, tmap: DataFrame, ignore_version: bool) -
 def map_to_proteins(variants: DataFrame, tmap: DataFrame, ignore_version: bool = False) -> DataFrame:
     """Variants with their protein accession(s); a transcript with several proteins fans out.
 
+    Names without a transcript carry ``''``, which maps to nothing: they are
+    dropped before the join, or that one key would ship them all to one task.
+
     With ``ignore_version`` the map's pairs are first made distinct on the
     unversioned transcript, so a transcript listed under several versions maps
     each variant to each protein once; ``NM_transcript`` is then the variant's
     own transcript.
     """
+    variants = variants.filter(F.col("transcription") != "")
+    tmap = tmap.filter(F.col("NM_transcript") != "")
     if not ignore_version:
         return variants.join(tmap, _map_condition(variants, tmap, False), "inner")
     pairs = tmap.select(_unversioned(F.col("NM_transcript")).alias("__nm"), "NP_transcript").distinct()

@@ -53,14 +53,10 @@ def batch_mean_loss(scored: DataFrame, by: Sequence[str] = ("model",), batch_col
 
 
 def last_results(runs: DataFrame, trial: str = "trial", epoch: str = "epoch") -> DataFrame:
-    """Each trial's row at its last epoch."""
+    """Each trial's row at its last epoch (of rows that repeat that epoch, the largest by its metrics)."""
     metrics = [c for c in runs.columns if c not in (trial, epoch)]
-    packed = F.struct(*[F.col(c) for c in metrics])
-    last = runs.groupBy(trial).agg(
-        F.max(epoch).alias(epoch),
-        F.max_by(packed, F.col(epoch)).alias("__last"),
-    )
-    return last.select(trial, epoch, *[F.col("__last").getField(c).alias(c) for c in metrics])
+    last = runs.groupBy(trial).agg(F.max(F.struct(epoch, *metrics)).alias("__last"))
+    return last.select(trial, *[F.col("__last").getField(c).alias(c) for c in (epoch, *metrics)])
 
 
 def best_trial(

@@ -35,7 +35,7 @@ SPLIT_KEYS = {
 
 def check_ratios(ratios: Sequence[float]) -> None:
     if abs(sum(ratios) - 1.0) >= RATIO_TOLERANCE:
-        raise ValueError(f"Ratios must sum to 1.0, got {sum(ratios)}")
+        raise ValueError(f"split ratios {tuple(ratios)} add up to {sum(ratios)}, not to 1")
 
 
 def assign_split(

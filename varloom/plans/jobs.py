@@ -21,6 +21,7 @@ from varloom.constants import (
     ACCESSION_STATUS_COL,
     MAX_SEQUENCE_LENGTH,
     PROTEIN_PREFIX,
+    SEARCH_TRIALS,
     SPLIT_RATIOS,
     SPLIT_SEED,
     VARIANT_FILTER_COLUMNS,
@@ -30,7 +31,7 @@ from varloom.operators import context as ctx_ops
 from varloom.operators import fit as fit_ops
 from varloom.operators import mapping, metrics, missense, phenotypes, split, variants, variation
 from varloom.plans import sinks
-from varloom.session import stage
+from varloom.session import delete_path, shared_path, stage
 from varloom.sources import parquet as pq_src
 from varloom.sources import text
 
@@ -41,9 +42,9 @@ log = logging.getLogger("varloom")
 # ---------------------------------------------------------------------------
 
 
-def variant_features_frame(variant_summary: DataFrame) -> DataFrame:
+def variant_features_frame(variant_summary: DataFrame, **condition) -> DataFrame:
     """JOB1: filter, seven columns, label as int, one row per variation, name parts."""
-    return variants.variant_summary_features(variant_summary)
+    return variants.variant_summary_features(variant_summary, **condition)
 
 
 def missense_ids_frame(vcf: DataFrame) -> DataFrame:
@@ -116,15 +117,26 @@ def score_report_frame(scores: DataFrame, by: Sequence[str] = ("model",)) -> Dat
 def fit_and_select_frame(
     ml_rows: DataFrame,
     estimator=None,
-    trials: int = 15,
+    trials: int = SEARCH_TRIALS,
     seed: int = SPLIT_SEED,
     n: int = MAX_SEQUENCE_LENGTH,
 ) -> DataFrame:
-    """JOB8: second-level split of the training rows, random search, best trial flagged."""
+    """JOB8: the table of trials of :func:`fit_and_select`."""
+    return fit_and_select(ml_rows, estimator, trials, seed, n).runs
+
+
+def fit_and_select(
+    ml_rows: DataFrame,
+    estimator=None,
+    trials: int = SEARCH_TRIALS,
+    seed: int = SPLIT_SEED,
+    n: int = MAX_SEQUENCE_LENGTH,
+) -> fit_ops.SearchResult:
+    """JOB8: second-level split of the training rows, random search, best trial and its model."""
     train = ml_rows.filter(F.col("split") == "train")
     fit_parts = split.assign_two_way(train, seed=seed)
     feats = stage(fit_ops.with_features(fit_parts, n), "fit_features")
-    return fit_ops.search(
+    return fit_ops.search_models(
         feats.filter(F.col("fit_split") == "train"),
         feats.filter(F.col("fit_split") == "val"),
         estimator=estimator,
@@ -161,8 +173,16 @@ def run_etl(
     dense: bool = True,
     prefix: str = PROTEIN_PREFIX,
     model_width: int | None = None,
+    n: int = MAX_SEQUENCE_LENGTH,
+    sequences_path: str | None = None,
+    condition: dict | None = None,
 ) -> dict[str, str]:
-    """Run JOB1–JOB6 from the four input files; return the written table paths."""
+    """Run JOB1–JOB6 from the four input files; return the written table paths.
+
+    ``n`` is the vector length, ``condition`` replaces values of the variant filter
+    (see ``variants.variant_condition``). ``sequences_path`` names a sequence table of
+    an earlier run, which is then read instead of parsing the FASTA.
+    """
     out = out_dir.rstrip("/")
     paths = {
         "missense_ids": f"{out}/missense_ids.parquet",
@@ -177,6 +197,9 @@ def run_etl(
         "transcript_map": lambda: transcript_map_frame(read_gene2accession(spark, gene2accession)),
         "protein_sequences": lambda: protein_sequences_frame(text.read_fasta(spark, fasta), prefix),
     }
+    if sequences_path:
+        independent.pop("protein_sequences")
+        paths["protein_sequences"] = sequences_path
     with ThreadPoolExecutor(max_workers=len(independent)) as pool:
         futures = {
             name: pool.submit(lambda name=name, build=build: sinks.write_parquet(build(), paths[name]))
@@ -184,7 +207,7 @@ def run_etl(
         }
         counts = {name: f.result() for name, f in futures.items()}
 
-    features = variant_features_frame(read_variant_summary(spark, variant_summary))
+    features = variant_features_frame(read_variant_summary(spark, variant_summary), **(condition or {}))
     sequences = pq_src.read_table(spark, paths["protein_sequences"]) if join_sequences else None
     full = full_variation_frame(
         features,
@@ -198,12 +221,10 @@ def run_etl(
     if prepare_ml:
         paths["ml"] = f"{out}/ml.parquet"
         counts["ml"] = run_ml_dataset(
-            spark, paths["full_variation"], paths["ml"], scope, split_key, dense, model_width=model_width
+            spark, paths["full_variation"], paths["ml"], scope, split_key, dense, n=n, model_width=model_width
         )
     for name, rows in counts.items():
         log.info("wrote %s: %d rows to %s", name, rows, paths[name])
-    ids = missense.id_counts(spark.read.parquet(paths["missense_ids"])).first()
-    log.info("missense ids: %d, distinct: %d", ids["n_ids"], ids["n_distinct_ids"])
     return paths
 
 
@@ -223,18 +244,64 @@ def run_ml_dataset(
     sizes one hash partitioning on the group key that the context collect, the
     join back and the dense write all reuse.
     """
-    parts = stage(ml_parts(spark.read.parquet(full_path), split_key, n=n), "ml_rows")
+    scratch = shared_path(spark, "ml_rows")
+    sinks.write_parquet(ml_parts(spark.read.parquet(full_path), split_key, n=n), scratch)
+    parts = spark.read.parquet(scratch)
     rows = parts.count()
     if not dense:
         sinks.write_ml_table(ctx_ops.context_positions(parts, scope=scope), out_path, n=n, dense=False)
+        delete_path(spark, scratch)
         return rows
     # One partitioning, sized for the dense output, serves the context collect,
     # the join back and the dense sink.
     width = sinks.dense_partitions(rows, n)
     context = ctx_ops.context_positions(parts, scope=scope, partitions=width)
     sinks.write_ml_table(context, out_path, n=n, model_width=model_width, prepartitioned=True)
+    delete_path(spark, scratch)
     return rows
 
 
 def run_score_report(spark: SparkSession, scores_path: str, by: Sequence[str] = ("model",)) -> DataFrame:
     return score_report_frame(spark.read.parquet(scores_path), by)
+
+
+def run_fit(
+    spark: SparkSession,
+    ml_path: str,
+    out_path: str,
+    model_path: str | None = None,
+    estimator=None,
+    trials: int = SEARCH_TRIALS,
+    seed: int = SPLIT_SEED,
+    n: int = MAX_SEQUENCE_LENGTH,
+) -> int:
+    """JOB8 from a written ML table (sparse, dense or model-side): write the trials, save the best model.
+
+    Returns the best trial's number.
+    """
+    rows = fit_ops.ml_rows_of(spark.read.parquet(ml_path))
+    log.info("rows without a label, left out: %d", fit_ops.unlabelled(rows))
+    result = fit_and_select(rows, estimator=estimator, trials=trials, seed=seed, n=n)
+    sinks.write_parquet(result.runs, out_path)
+    if model_path:
+        fit_ops.save_model(result.model, model_path)
+    return result.best
+
+
+def score_stored_models(
+    spark: SparkSession,
+    ml_path: str,
+    models: dict[str, str],
+    splits: Sequence[str] | None = None,
+    n: int = MAX_SEQUENCE_LENGTH,
+) -> DataFrame:
+    """JOB7 for stored models: one row per (ML row, model) with its logit and label, from one scan.
+
+    ``models`` maps a name to the folder of a saved model; ``splits`` prunes the parts read.
+    """
+    table = spark.read.parquet(ml_path)
+    if splits is not None:
+        table = table.filter(F.col("split").isin(list(splits)))
+    features = fit_ops.with_features(fit_ops.ml_rows_of(table), n)
+    loaded = {name: fit_ops.load_model(spark, path) for name, path in models.items()}
+    return fit_ops.score_models(loaded, features)

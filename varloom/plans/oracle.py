@@ -10,7 +10,9 @@ from __future__ import annotations
 from varloom.constants import (
     AMINO_ACIDS,
     MAX_SEQUENCE_LENGTH,
+    MODEL_VECTOR_LENGTH,
     PHENOTYPE_PLACEHOLDERS,
+    SEARCH_TRIALS,
     VARIANT_ASSEMBLY,
     VARIANT_CLINICAL_SIGNIFICANCES,
     VARIANT_REVIEW_STATUSES,
@@ -33,6 +35,7 @@ def _codes(col: str) -> str:
 
 
 N = MAX_SEQUENCE_LENGTH
+W = MODEL_VECTOR_LENGTH
 SNV_RE = r"p\.([A-Za-z0-9]+)"
 
 STEPS = f"""
@@ -258,11 +261,37 @@ ORACLE: dict[str, str] = {
                     is_pathogenic NULLS FIRST
            LIMIT 20"""
     ),
+    "ml_table_dense": _with(
+        f"""SELECT name, NP_transcript, position, phenotype_list, is_pathogenic, split,
+              CAST({N} AS BIGINT) AS mutation_len, {_ONE_HOT} AS mutation_bits,
+              CAST({N} AS BIGINT) AS context_len, {_MULTI_HOT} AS context_bits
+            FROM ({_context_sql('within_split', keep_list=True)})"""
+    ),
     "model_side_table": _with(
         f"""SELECT NP_transcript, position, phenotype_list, split,
-              TRY_CAST(position AS INTEGER) AS POS_vector, context_positions AS Patho_Vector,
+              CAST({W} AS BIGINT) AS POS_len, {_ONE_HOT} || repeat('0', {W - N}) AS POS_vector,
+              CAST({W} AS BIGINT) AS Patho_len, {_MULTI_HOT} || repeat('0', {W - N}) AS Patho_Vector,
               is_pathogenic AS ClinSigSimple
-            FROM ({_context_sql('within_split')})"""
+            FROM ({_context_sql('within_split', keep_list=True)})"""
+    ),
+    "fit_logistic": _with(
+        """SELECT split, count(*) AS n, round(-(p * ln(p) + (1 - p) * ln(1 - p)), 6) AS base_loss,
+             CASE WHEN split = 'train' THEN true END AS train_loss_at_most_base
+           FROM (SELECT split, avg(is_pathogenic) OVER (PARTITION BY split) AS p FROM splits)
+           GROUP BY split, p"""
+    ),
+    "search_best": _with(
+        f"""SELECT CAST({SEARCH_TRIALS} AS BIGINT) AS n_trials, count(*) AS n_validation, CAST(1 AS BIGINT) AS n_best,
+             true AS best_is_lowest
+           FROM (SELECT CAST(('0x' || substr(md5(concat_ws('|', '42', 'fit', NP_transcript, position,
+                             phenotype_list)), 1, 8)) AS BIGINT) % 1000 AS b
+                 FROM splits WHERE split = 'train') WHERE b >= 800"""
+    ),
+    "fixed_weights_scores": _with(
+        f"""SELECT NP_transcript, position, phenotype_list, split, CAST({2 * N} AS BIGINT) AS width,
+              ((37 * (TRY_CAST(position AS INTEGER) - 1)) % 101 - 50
+               + coalesce(list_sum(list_transform(lst, lambda c: (37 * ({N} + c - 1)) % 101 - 50)), 0)) / 100.0::DOUBLE AS logit
+            FROM ({_context_sql('within_split', keep_list=True)})"""
     ),
     "score_rows": _with(
         "SELECT key, model, split, batch_id, label, round(logit, 6) AS logit, predicted, correct, "

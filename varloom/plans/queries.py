@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.constants import ML_KEY_COLUMNS, VCF_COLUMNS
+from varloom.constants import ML_KEY_COLUMNS, MODEL_VECTOR_LENGTH, VCF_COLUMNS
 from varloom.functions import vectors
 from varloom.functions.hgvs import with_name_parts
 from varloom.functions.amino import one_letter
@@ -282,11 +283,7 @@ def context_vector(spark, sf):
 
 
 def ml_table(spark, sf):
-    """JOB6 end to end in sparse form: one ``split``-partitioned parquet write, read back.
-
-    The dense published form is the same write with ``dense=True``; its vector
-    builders are checked by ``mutation_vector`` and ``context_vector``.
-    """
+    """JOB6 end to end in sparse form: one ``split``-partitioned parquet write, read back."""
     path = shared_path(spark, "ml_table")
     sinks.write_ml_table(jobs.ml_frame(_full(spark, sf)), path, dense=False)
     back = spark.read.parquet(path)
@@ -297,6 +294,17 @@ def ml_table(spark, sf):
     )
 
 
+def ml_table_dense(spark, sf):
+    """JOB6 end to end as published: dense vectors, written and read back, all digits compared."""
+    path = shared_path(spark, "ml_table_dense")
+    sinks.write_ml_table(jobs.ml_frame(_full(spark, sf)), path, dense=True)
+    return spark.read.parquet(path).select(
+        "name", "NP_transcript", "position", "phenotype_list", "is_pathogenic", "split",
+        F.size("mutation_vector").cast("long").alias("mutation_len"), _bits(F.col("mutation_vector")).alias("mutation_bits"),
+        F.size("context_vector").cast("long").alias("context_len"), _bits(F.col("context_vector")).alias("context_bits"),
+    )
+
+
 def feature_projection(spark, sf):
     """Features and target of one part, read back from the written ML table
     (column pruning and ``split`` partition pruning at the scan)."""
@@ -311,18 +319,15 @@ def feature_projection(spark, sf):
 
 
 def model_side_table(spark, sf):
-    """The model scripts' column names over the ML rows (vectors kept sparse here)."""
-    rows = jobs.ml_frame(_full(spark, sf))
-    renamed = sinks.model_side_names(
-        rows.withColumns(
-            {
-                "mutation_vector": position_index(F.col("position")),
-                "context_vector": vectors.join_ints(F.col("context_positions")),
-            }
-        ).drop("context_positions")
+    """The table the model scripts read: their names, vectors padded to their width, written and read back."""
+    path = shared_path(spark, "model_side_table")
+    sinks.write_ml_table(jobs.ml_frame(_full(spark, sf)), path, model_width=MODEL_VECTOR_LENGTH)
+    return spark.read.parquet(path).select(
+        "NP_transcript", "position", "phenotype_list", "split",
+        F.size("POS_vector").cast("long").alias("POS_len"), _bits(F.col("POS_vector")).alias("POS_vector"),
+        F.size("Patho_Vector").cast("long").alias("Patho_len"), _bits(F.col("Patho_Vector")).alias("Patho_Vector"),
+        "ClinSigSimple",
     )
-    return renamed.select("NP_transcript", "position", "phenotype_list", "split",
-                          "POS_vector", "Patho_Vector", "ClinSigSimple")
 
 
 def two_channel_input(spark, sf):
@@ -386,13 +391,37 @@ def best_trial_accuracy(spark, sf):
 
 
 def fit_logistic(spark, sf):
-    """Fit on the training part of the ML table, report every part."""
+    """Fit on the training part of the ML table, report every part.
+
+    Beside each part's exact count and base-rate loss: whether the fitted model's
+    training loss is at most that of the base rate (a property, not its coefficients).
+    """
     rows = stage(fit_ops.with_features(jobs.ml_frame(_full(spark, sf))), "fit_features")
-    return fit_ops.fit_and_score(rows.filter(F.col("split") == "train"), rows, by=["split"])
+    fitted = fit_ops.fit_and_score(rows.filter(F.col("split") == "train"), rows, by=["split"])
+    p = F.avg(fit_ops.LABEL)
+    base = rows.groupBy("split").agg((-(p * F.log(p) + (1 - p) * F.log(1 - p))).alias("base_loss"))
+    fits = F.when(F.col("split") == "train", F.col("mean_loss") <= F.col("base_loss") + 1e-9)
+    return fitted.join(base, "split").select("split", "n", _r6("base_loss"), fits.alias("train_loss_at_most_base"))
 
 
 def search_best(spark, sf):
-    return jobs.fit_and_select_frame(jobs.ml_frame(_full(spark, sf)))
+    """The random search: trials, rows they are validated on, and that one best has the lowest loss."""
+    runs = jobs.fit_and_select_frame(jobs.ml_frame(_full(spark, sf)))
+    best = F.min(F.when(F.col("is_best"), F.col("mean_loss")))
+    return runs.agg(
+        F.count(F.lit(1)).alias("n_trials"), F.max("n").alias("n_validation"),
+        F.count(F.when(F.col("is_best"), 1)).alias("n_best"), (best == F.min("mean_loss")).alias("best_is_lowest"),
+    )
+
+
+def fixed_weights_scores(spark, sf):
+    """Logits of a linear model with stated weights over the concatenated input (weight of slot j from 0:
+    ``((37 j) mod 101 - 50) / 100``)."""
+    rows = fit_ops.with_features(jobs.ml_frame(_full(spark, sf)))
+    x = vector_to_array(F.col(fit_ops.FEATURES)).cast("array<long>")
+    parts = F.transform(x, lambda v, j: v * (F.pmod(j * 37, F.lit(101)) - 50))
+    total = F.aggregate(parts, F.lit(0).cast("long"), lambda a, v: a + v)
+    return rows.select(*ML_KEY_COLUMNS, "split", (total / 100.0).alias("logit"), F.size(x).cast("long").alias("width"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -426,6 +455,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mutation_vector": mutation_vector,
     "context_vector": context_vector,
     "ml_table": ml_table,
+    "ml_table_dense": ml_table_dense,
     "feature_projection": feature_projection,
     "two_channel_input": two_channel_input,
     "full_variation_preview": full_variation_preview,
@@ -439,4 +469,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "best_trial_accuracy": best_trial_accuracy,
     "fit_logistic": fit_logistic,
     "search_best": search_best,
+    "fixed_weights_scores": fixed_weights_scores,
 }

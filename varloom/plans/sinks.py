@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import threading
 from collections.abc import Sequence
 from contextlib import contextmanager
 
@@ -51,26 +52,32 @@ def model_side_names(df: DataFrame, names: dict[str, str] = MODEL_SIDE_NAMES) ->
 
 
 def pad_vector(col: str, width: int, element_type: str) -> Column:
-    """Right-pad an array column with zeros to ``width`` (the model side reads wider vectors)."""
+    """Right-pad an array column with zeros to ``width``; a longer array raises, never is cut or kept."""
     c = F.col(col)
-    missing = F.greatest(F.lit(width) - F.size(c), F.lit(0))
+    missing = F.when(F.size(c) <= width, F.lit(width) - F.size(c)).otherwise(
+        F.raise_error(F.concat(F.lit(f"{col} is longer than {width}: "), F.size(c).cast("string"))).cast("int")
+    )
     return F.concat(c, F.array_repeat(F.lit(0).cast(element_type), missing))
 
 
+_CONF_LOCK = threading.Lock()
+
+
 @contextmanager
 def session_conf(spark: SparkSession, settings: dict[str, str]):
-    """Set SQL confs for the duration of one write, then restore them."""
-    old = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+    """Set SQL confs for the duration of one write, then restore them; one such write at a time."""
+    with _CONF_LOCK:
+        old = {k: spark.conf.get(k, None) for k in settings}
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        try:
+            yield
+        finally:
+            for k, v in old.items():
+                if v is None:
+                    spark.conf.unset(k)
+                else:
+                    spark.conf.set(k, v)
 
 
 # Target in-memory size of the dense rows one write task produces.
@@ -113,8 +120,11 @@ def write_ml_table(
     of one nested group per element: about 40 % less encoding time for the
     same values; Spark and Arrow read it as the same list columns.
     """
+    if model_width is not None and model_width < n:
+        raise ValueError(f"model width {model_width} is less than the vectors' {n}")
     if not dense:
-        return write_parquet(rows, path, partition_by=[split_col])
+        # Adaptive execution sizes the files from the sparse bytes and splits a large part.
+        return write_parquet(rows.hint("rebalance", F.col(split_col)), path, partition_by=[split_col])
     spark = rows.sparkSession
     if not prepartitioned:
         if partitions is None:

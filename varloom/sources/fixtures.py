@@ -11,9 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# 22 three-letter codes in their fixed order, and the one-letter codes in the same order.
-AA3 = "AlaIleArgLeuAsnLysAspMetAsxPheCysProGlnSerGluThrGlxTrpGlyTyrHisVal"
-AA1 = "AIRLNKDMBFCPQSETZWGYHV"
+from varloom.constants import AMINO_ACIDS
+
+# The 22 three-letter codes in their fixed order, and the one-letter codes in the same order.
+AA3 = "".join(AMINO_ACIDS)
+AA1 = "".join(AMINO_ACIDS.values())
 
 
 def _s(expr: str) -> str:
@@ -35,7 +37,6 @@ _PHEN_B = f"concat('Phenotype ', {_s('l_suppkey % 3')})"
 
 VARIANT_SUMMARY = {
     "source": "lineitem",
-    "spread": "l_orderkey",
     "columns": {
         "Name": (
             f"concat('NM_', lpad({_s('l_partkey % 500')}, 6, '0'), '.', {_s('1 + l_partkey % 3')}, "
@@ -70,7 +71,6 @@ VARIANT_SUMMARY = {
 
 VCF = {
     "source": "lineitem",
-    "spread": "l_orderkey",
     "columns": {
         "CHROM": _s("1 + l_orderkey % 22"),
         "POS": _s("100000 + l_orderkey*10 + l_linenumber"),
@@ -92,7 +92,6 @@ VCF = {
 
 GENE2ACCESSION = {
     "source": "part",
-    "spread": "p_partkey",
     "columns": {
         "#tax_id": "'9606'",
         "GeneID": _s("p_partkey % 500"),
@@ -111,7 +110,6 @@ GENE2ACCESSION = {
 
 PROTEIN = {
     "source": "part",
-    "spread": "p_partkey",
     "distinct": True,
     "columns": {
         "id": (
@@ -206,11 +204,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Build a relation from the driver's parquet table with the DataFrame API."""
     rel = RELATIONS[name]
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{rel['source']}.parquet")
-    if "spread" in rel:
-        # The driver tables are single-row-group files, so their scan is one task.
-        # Real inputs (byte-split text, multi-row-group parquet) scan in parallel;
-        # spreading the source on its key stands in for that.
-        df = df.repartition(spark.sparkContext.defaultParallelism, rel["spread"])
     if "generate" in rel:
         df = df.selectExpr("*", f"explode(sequence(1, {MODELS_PER_KEY})) AS {rel['generate']}")
     if "aggregates" in rel:

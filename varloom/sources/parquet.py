@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varloom.constants import SCORE_BATCH_SIZE
+
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
@@ -30,20 +33,29 @@ def read_features(
     return df.select(*features, target)
 
 
-def local_batches(df: DataFrame, batch_size: int = 256) -> Iterator[dict[str, list]]:
-    """Column-wise batches of ``batch_size`` rows for a consumer that runs in the
-    driver process (a single-process trainer).
+def map_feature_batches(
+    df: DataFrame,
+    fn: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: str,
+    batch_size: int = SCORE_BATCH_SIZE,
+) -> DataFrame:
+    """Apply ``fn`` to batches of ``batch_size`` rows of each partition, on the executors.
 
-    Rows stream one partition at a time (``toLocalIterator``), so the driver holds
-    one partition and one batch, never the table. Work that can run on executors
-    should use DataFrame operations instead.
+    Only the last batch of a partition may be shorter. A batch is all that ``fn`` holds.
     """
-    columns = df.columns
-    batch: list = []
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        batch.append(row)
-        if len(batch) == batch_size:
-            yield {c: [r[i] for r in batch] for i, c in enumerate(columns)}
-            batch = []
-    if batch:
-        yield {c: [r[i] for r in batch] for i, c in enumerate(columns)}
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        rows = 0
+        for part in parts:
+            while len(part):
+                piece, part = part.iloc[: batch_size - rows], part.iloc[batch_size - rows :]
+                held.append(piece)
+                rows += len(piece)
+                if rows == batch_size:
+                    yield fn(pd.concat(held, ignore_index=True))
+                    held, rows = [], 0
+        if rows:
+            yield fn(pd.concat(held, ignore_index=True))
+
+    return df.mapInPandas(run, schema)

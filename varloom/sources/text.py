@@ -1,8 +1,10 @@
 """Readers for the four text inputs: header TSV, VCF and FASTA.
 
 All are distributed Spark reads; plain files split across tasks. Gzip input
-(``.gz``/``.bgz``) is decoded by Spark but is not splittable, so such reads are
-followed by a round-robin repartition to spread the work after the scan.
+(``.gz``, block gzip included) is decoded by Spark but is not splittable, so such
+reads are followed by a round-robin repartition to spread the work after the scan.
+What a path holds is decided from the files listed under it. Spark decodes by file
+name: a ``.bgz`` or ``.gzip`` name has no codec and would be read as text, so it raises.
 """
 
 from __future__ import annotations
@@ -18,21 +20,26 @@ from varloom.functions.sequence import fasta_body, fasta_description, fasta_id
 
 VCF_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in VCF_COLUMNS])
 
-_COMPRESSED_SUFFIXES = (".gz", ".bgz", ".gzip")
+_GZIP_SUFFIX = ".gz"
+_UNDECODED_SUFFIXES = (".bgz", ".bgzf", ".gzip")
 
 
 def _as_list(paths: str | Sequence[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
-def _is_compressed(paths: list[str]) -> bool:
-    return any(p.lower().endswith(_COMPRESSED_SUFFIXES) for p in paths)
+def _check_names(paths: list[str]) -> None:
+    for p in paths:
+        if p.lower().endswith(_UNDECODED_SUFFIXES):
+            raise ValueError(f"{p}: rename block-gzip files to .gz, Spark does not decode this name")
 
 
-def _spread(spark: SparkSession, df: DataFrame, paths: list[str], partitions: int | None) -> DataFrame:
+def _spread(spark: SparkSession, df: DataFrame, partitions: int | None) -> DataFrame:
+    files = df.inputFiles()
+    _check_names(files)
     if partitions:
         return df.repartition(partitions)
-    if _is_compressed(paths):
+    if any(f.lower().endswith(_GZIP_SUFFIX) for f in files):
         return df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
@@ -49,20 +56,24 @@ def read_tsv(
     position). ``columns`` may hold names with dots; they are back-ticked.
     """
     paths = _as_list(paths)
+    _check_names(paths)
     df = spark.read.options(header=True, sep="\t", quote="", inferSchema=False).csv(paths)
     if columns is not None:
         df = df.select(*[F.col(f"`{c}`") for c in columns])
-    return _spread(spark, df, paths, partitions)
+    return _spread(spark, df, partitions)
 
 
 def read_vcf(spark: SparkSession, paths: str | Sequence[str], partitions: int | None = None) -> DataFrame:
     """VCF body lines as the eight fixed columns; ``#`` lines are skipped.
 
-    Extra per-sample columns are ignored by the fixed schema.
+    Extra per-sample columns are ignored by the fixed schema. An id of ``.`` means
+    that the record has none and is read as null.
     """
     paths = _as_list(paths)
+    _check_names(paths)
     df = spark.read.schema(VCF_SCHEMA).options(sep="\t", comment="#", quote="", header=False).csv(paths)
-    return _spread(spark, df, paths, partitions)
+    df = df.withColumn("ID", F.nullif("ID", F.lit(".")))
+    return _spread(spark, df, partitions)
 
 
 def read_fasta(spark: SparkSession, paths: str | Sequence[str], partitions: int | None = None) -> DataFrame:
@@ -72,8 +83,9 @@ def read_fasta(spark: SparkSession, paths: str | Sequence[str], partitions: int
     header is not a record boundary and multi-line bodies stay together.
     """
     paths = _as_list(paths)
+    _check_names(paths)
     raw = spark.read.option("lineSep", "\n>").text(paths)
-    raw = _spread(spark, raw, paths, partitions)
+    raw = _spread(spark, raw, partitions)
     df = raw.select(
         fasta_id(F.col("value")).alias("id"),
         fasta_description(F.col("value")).alias("description"),
