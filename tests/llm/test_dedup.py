@@ -135,6 +135,19 @@ def test_lines_match_brute_force(spark, k):
     assert want != texts
 
 
+def test_lines_of_a_common_segment_take_longer_keys(spark, monkeypatch):
+    rng = random.Random(8)
+    head = prose(rng, 8)
+    texts = [head + " " + "".join(rng.choice("ab") for _ in range(rng.choice([60, 61]))) for _ in range(60)]
+    for t in texts[:30]:  # near lines within the crowd: changed, longer, shorter
+        at = rng.randrange(len(t))
+        texts.append(rng.choice([t[:at] + "é" + t[at + 1 :], t[:at] + "é" + t[at:], t[:at] + t[at + 1 :]]))
+    monkeypatch.setattr(lines, "HEAVY", 10)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(documents(spark, texts)).collect()}
+    want = brute_lines(texts, 1)
+    assert [got[i] for i in range(len(texts))] == want and sum(t == "" for t in want) >= 25
+
+
 def test_lines_use_no_python(spark):
     plan = lines.dedup_lines(documents(spark, corpus()))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))

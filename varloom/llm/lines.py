@@ -11,7 +11,11 @@ probing: of the shorter line's ``max_edits + 1`` even segments, one at least occ
 unchanged in the longer one, near its own place. Each line is indexed under its
 segments' (line length, segment number, content) and probes, for each shorter or equal
 length in reach, only the substrings that the multi-match rule leaves; an equi join
-gives the pairs. Pairs are verified by banded bit-parallel edit distance: bit d of
+gives the pairs. A segment that very many lines share (more than ``HEAVY`` pairs) is not
+paired: its lines meet under longer keys, all of the line but one of ``DEEP_PARTS``
+segments, which lines one edit apart share too, so that only lines which differ in that
+one place meet (for ``max_edits`` over 1 there is no such key and they are paired).
+Pairs are verified by banded bit-parallel edit distance: bit d of
 state k says that a prefix pair on diagonal d is within k edits, and one character of
 the longer line moves all diagonals at once.
 
@@ -26,10 +30,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import Scratch, id_order, keep_keys
+from varloom.llm.common import BROADCAST_KEY_BYTES, Scratch, id_order, keep_keys
 
 MAX_EDITS = 1
 MIN_CHARS = 20
+#: Pairs that one segment key may make before its lines take the longer keys instead.
+HEAVY = 400
+DEEP_PARTS = 16
 #: Lines of one document that share a mask word.
 _MASK_BITS = 60
 
@@ -76,6 +83,17 @@ def probe_keys(line: Column, length: Column, max_edits: int) -> Column:
     return F.filter(F.array(*keys), lambda k: k.isNotNull())
 
 
+def deep_keys(line: Column, length: Column, longer: int) -> Column:
+    """Per segment, the line without it: as one of ``length - longer`` characters with ``longer`` added there."""
+    target = length - longer
+    keys = []
+    for i in range(DEEP_PARTS):
+        start, size = _segment(target, i, DEEP_PARTS)
+        rest = F.substr(line, start + size + longer)
+        keys.append(F.xxhash64(F.lit(i), target.cast("int"), F.substr(line, F.lit(1), start - 1), rest))
+    return F.array(*keys)
+
+
 def within_edits(left: Column, right: Column, max_edits: int) -> Column:
     """Whether the edit distance of two strings is at most ``max_edits``."""
     # Bound as a lambda variable: the strings are taken apart once, not once a character.
@@ -124,6 +142,36 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("length", F.length("line")).filter(F.col("length") >= MIN_CHARS)
 
 
+def _heavy_keys(held: DataFrame, asked: DataFrame) -> DataFrame:
+    """Keys under which more than ``HEAVY`` pairs would meet."""
+    both = held.select("key", F.lit(1).alias("h"), F.lit(0).alias("a")).unionByName(
+        asked.select("key", F.lit(0).alias("h"), F.lit(1).alias("a"))
+    )
+    counts = both.groupBy("key").agg(F.sum("h").alias("h"), F.sum("a").alias("a"))
+    return counts.filter(F.col("h") * F.col("a") > HEAVY).select("key")
+
+
+def _meet(held: DataFrame, asked: DataFrame) -> DataFrame:
+    """Pairs of different lines under one key: doc, pos (the earlier place), doc2, pos2."""
+    other = asked.select("key", F.col("doc").alias("doc2"), F.col("pos").alias("pos2"))
+    one, two = F.struct("doc", "pos"), F.struct(F.col("doc2").alias("doc"), F.col("pos2").alias("pos"))
+    return (
+        held.join(other, "key")
+        .filter((F.col("doc") != F.col("doc2")) | (F.col("pos") != F.col("pos2")))
+        .select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
+        .distinct()
+        .select("a.doc", "a.pos", F.col("b.doc").alias("doc2"), F.col("b.pos").alias("pos2"))
+    )
+
+
+def _texts_at(docs: DataFrame, places: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """doc, pos, line of the given places; only their documents are read."""
+    owners = scratch.stage(places.select("doc").distinct(), f"{name}_owners")
+    wanted = keep_keys(docs.select(id_order("doc_id").alias("doc"), "doc_id", "text"), owners, "doc")
+    found = _lines(wanted).join(places, ["doc", "pos"], "left_semi").select("doc", "pos", "line").distinct()
+    return scratch.stage(found, f"{name}_lines")
+
+
 def line_links(docs: DataFrame, max_edits: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Distinct lines (doc, pos of the first place) and links between them (doc, pos < doc2, pos2)."""
     lines = _lines(docs).select(
@@ -138,24 +186,23 @@ def line_links(docs: DataFrame, max_edits: int, scratch: Scratch) -> tuple[DataF
         "distinct",
     )
     held = distinct.select(F.explode("index").alias("key"), "doc", "pos")
-    asked = distinct.select(F.explode("probe").alias("key"), F.col("doc").alias("doc2"), F.col("pos").alias("pos2"))
-    one, two = F.struct("doc", "pos"), F.struct(F.col("doc2").alias("doc"), F.col("pos2").alias("pos"))
-    pairs = (
-        held.join(asked, "key")
-        .filter((F.col("doc") != F.col("doc2")) | (F.col("pos") != F.col("pos2")))
-        .select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
-        .distinct()
-        .select("a.doc", "a.pos", F.col("b.doc").alias("doc2"), F.col("b.pos").alias("pos2"))
-    )
+    asked = distinct.select(F.explode("probe").alias("key"), "doc", "pos")
+    heavy = scratch.stage(_heavy_keys(held, asked), "heavy") if max_edits == 1 else None
+    if heavy is None or heavy.isEmpty():
+        pairs = _meet(held, asked)
+    else:
+        many = F.broadcast(heavy) if heavy.count() * 16 <= BROADCAST_KEY_BYTES else heavy
+        crowd = held.unionByName(asked).join(many, "key", "left_semi").select("doc", "pos").distinct()
+        crowd = _texts_at(docs, scratch.stage(crowd, "crowd"), scratch, "crowd")
+        deep = crowd.withColumn("length", F.length("line"))
+        same = deep.select(F.explode(deep_keys(F.col("line"), F.col("length"), 0)).alias("key"), "doc", "pos")
+        more = deep.select(F.explode(deep_keys(F.col("line"), F.col("length"), 1)).alias("key"), "doc", "pos")
+        light = _meet(held.join(many, "key", "left_anti"), asked.join(many, "key", "left_anti"))
+        pairs = light.unionByName(_meet(same, same.unionByName(more))).distinct()
     pairs = scratch.stage(pairs, "pairs")
     # Texts of the lines in pairs only: their documents are few, the others are not read again.
-    places = pairs.select("doc", "pos").union(pairs.select("doc2", "pos2")).distinct()
-    places = scratch.stage(places, "places")
-    owners = scratch.stage(places.select("doc").distinct(), "owners")
-    wanted = keep_keys(docs.select(id_order("doc_id").alias("doc"), "doc_id", "text"), owners, "doc")
-    texts = scratch.stage(
-        _lines(wanted).join(places, ["doc", "pos"], "left_semi").select("doc", "pos", "line").distinct(), "line_texts"
-    )
+    places = scratch.stage(pairs.select("doc", "pos").union(pairs.select("doc2", "pos2")).distinct(), "places")
+    texts = _texts_at(docs, places, scratch, "places")
     other = texts.select(F.col("doc").alias("doc2"), F.col("pos").alias("pos2"), F.col("line").alias("line2"))
     spelled = (
         pairs.join(texts, ["doc", "pos"]).join(other, ["doc2", "pos2"])
@@ -163,7 +210,7 @@ def line_links(docs: DataFrame, max_edits: int, scratch: Scratch) -> tuple[DataF
     )
     links = spelled.select("doc", "pos", "doc2", "pos2")
     links = scratch.stage(links.distinct(), "links")
-    scratch.drop("line_texts", "places", "owners", "pairs")
+    scratch.drop("heavy", "crowd", "crowd_owners", "crowd_lines", "places", "places_owners", "places_lines", "pairs")
     return distinct.select("doc", "pos"), links
 
 
