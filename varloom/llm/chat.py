@@ -45,7 +45,7 @@ def _unescape(text: Column) -> Column:
 
 def _label(role: Column) -> Column:
     """The role as shown; one that could be misread gets a backslash before each risky character."""
-    literal = F.regexp_replace(_escape(role), r":", r"\\:")
+    literal = F.replace(_escape(role), F.lit(LABEL_END), F.lit(":\\ "))
     label = F.when(role.isin(*SHOWN.values()), F.concat(F.lit("\\"), literal)).otherwise(literal)
     for name, shown in SHOWN.items():
         label = F.when(role == name, F.lit(shown)).otherwise(label)
