@@ -73,8 +73,11 @@ def test_benchmark_stage(spark, stages):
 def test_mix_stage(stages):
     before, after = stages["mixing"]
     assert after.count() == before.count()
-    rows = after.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
-    assert all(abs(r["t"] - r["g"]) <= 60 for r in rows)
+    rows = after.filter("size > 0").groupBy("source").agg(
+        F.sum("taken").alias("t"), F.first("target").alias("g"), F.min("size").alias("least"), F.count("*").alias("n")
+    ).collect()
+    # A source of few documents can miss its target by less than its smallest one.
+    assert all(abs(r["t"] - r["g"]) <= max(60, r["least"]) for r in rows), rows
 
 
 def test_run_gives_the_last_stage(spark, stages):

@@ -39,7 +39,7 @@ ROWS, BANDS = 6, 40
 SEED = 11
 #: Signatures that agree on less than the limit by this many standard errors are rejected.
 SIGNATURE_MARGIN = 6.0
-HUB_GROWTH = 64
+HUB_GROWTH = 8
 NO_ID = -(2**63)
 
 _rng = np.random.default_rng(SEED)
