@@ -17,6 +17,8 @@ from varloom.session import shared_path
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Key sets up to this many bytes (16 per key) are broadcast; larger ones are shuffled.
 BROADCAST_KEY_BYTES = 32 << 20
+#: Rows (of a few numbers each) that one task may handle alone.
+NARROW_ROWS = 100_000
 
 
 def importable(spark: SparkSession) -> None:
@@ -54,6 +56,20 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """A written table of ``rows`` rows; with ``NARROW_ROWS`` at most, as one partition.
+
+    Joins, windows and groups over one partition need no shuffle, so a small table costs
+    one task and not one per shuffle partition. Larger tables stay as they are.
+    """
+    return df.coalesce(1) if rows <= NARROW_ROWS else df
+
+
+def hinted(df: DataFrame, rows: int) -> DataFrame:
+    """The same for a join's small side: broadcast up to ``NARROW_ROWS`` rows."""
+    return F.broadcast(df) if rows <= NARROW_ROWS else df
+
+
 def keep_keys(df: DataFrame, keys: DataFrame, on: str, limit_bytes: int = BROADCAST_KEY_BYTES) -> DataFrame:
     """Rows of ``df`` whose ``on`` is in ``keys`` (a written table of distinct longs).
 

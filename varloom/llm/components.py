@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import Scratch
+from varloom.llm.common import Scratch, narrow
 
 
 def _minima(directed: DataFrame) -> DataFrame:
@@ -48,9 +48,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
     """
     down = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now, step = scratch.stage(down.distinct(), f"{name}_0"), 0
+    now = narrow(now, now.count())
     while not _are_stars(now):
         step += 1
         now = scratch.stage(_small_star(_large_star(now)), f"{name}_{step}")
+        now = narrow(now, now.count())
         scratch.drop(f"{name}_{step - 1}")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.llm.common import Scratch, id_order, keep_keys
+from varloom.llm.common import Scratch, hinted, id_order, keep_keys, narrow
 from varloom.llm.components import connected_components
 
 ROWS, BANDS = 6, 40
@@ -253,26 +253,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     same_id = scratch.stage(same_id, "same_id")
 
-    tested, hubs, step = None, 1, 0
+    tested, n_tested, hubs, step = None, 0, 1, 0
+    members = narrow(members, members.count())
     while True:
         pairs = _pairs(members, hubs, percent)
         if tested is not None:
-            pairs = pairs.join(tested, ["hub", "id"], "left_anti")
+            pairs = pairs.join(hinted(tested, n_tested), ["hub", "id"], "left_anti")
         compared = pairs.join(known, "id").join(hub_side, "hub")
         found = compared.mapInArrow(_confirm(width, percent), "hub long, id long, linked boolean, similarity double")
         found = found.groupBy("hub", "id").agg(F.max("linked").alias("linked"), F.max("similarity").alias("similarity"))
         found = scratch.stage(found, f"tested_{step}")
+        n_found = found.count()
+        n_tested += n_found
+        found = narrow(found, n_found)
         tested = found if tested is None else tested.unionByName(found)
         edges = tested.filter("linked").select(F.col("hub").alias("u"), F.col("id").alias("v")).unionByName(same_id)
         links = connected_components(edges, scratch, f"links_{step}")
-        members = scratch.stage(_still_open(members, hubs, links, tested), f"members_{step + 1}")
+        n_links = links.count()
+        open_ = _still_open(members, hubs, hinted(links, n_links), hinted(tested, n_tested))
+        members = scratch.stage(open_, f"members_{step + 1}")
         scratch.drop(f"members_{step}")
         step, hubs = step + 1, hubs * HUB_GROWTH
-        if members.isEmpty():
+        n_members = members.count()
+        if not n_members:
             break
+        members = narrow(members, n_members)
     scratch.drop("known", "ids")
 
-    roots = links.select(F.col("node").alias("rep"), "component")
+    roots = hinted(links.select(F.col("node").alias("rep"), "component"), n_links)
     return (
         sketches.select("id", "n", "set_key")
         .join(classes, "set_key", "left")
