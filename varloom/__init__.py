@@ -7,7 +7,7 @@ Layout:
 * ``operators`` — ``DataFrame -> DataFrame`` steps (filters, joins, dedupe, split,
   context aggregate, metrics, Spark ML fitting);
 * ``plans``     — composite jobs, sinks and the command-line entry;
-* ``streaming`` — empty: the workload has no stream, so no streaming operator is added.
+* ``llm`` — training-data operators, which nothing else imports.
 """
 
 __version__ = "0.1.0"
