@@ -106,6 +106,20 @@ def test_closest_subset_is_the_best_one():
         assert sum(t * n for t, n in zip(take, lengths)) == max(s for s in sums if s <= budget)
 
 
+@pytest.mark.parametrize("share", [0.9, 0.95, 0.99])
+def test_fit_uses_every_length(share):
+    lengths, counts = np.arange(1, 701), np.ones(700, np.int64)
+    budget = int(share * lengths.sum())
+    take = mixing.fit_counts(lengths, counts, budget)
+    assert ((0 <= take) & (take <= counts)).all() and int((take * lengths).sum()) == budget
+    rng = np.random.default_rng(7)
+    lengths = np.sort(rng.choice(np.arange(20, 3_000), 1_200, replace=False))
+    counts = rng.integers(1, 3, 1_200)
+    budget = int(share * (lengths * counts).sum())
+    take = mixing.fit_counts(lengths, counts, budget)
+    assert ((0 <= take) & (take <= counts)).all() and int((take * lengths).sum()) == budget
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, rng.randrange(1, 60)), "en", rng.choice(["x", "y", "z", None]), 0) for i in range(400)]

@@ -8,7 +8,7 @@ Budget: a source takes whole passes over its documents while they fit. What is l
 is a subset-sum over the exact lengths: the documents are counted by length, each
 length first gives its proportional share, the counts left over give greedily from
 the longest down while the budget is far off, and a bounded-knapsack dynamic
-programme over the lengths left closes the last ``DP_BUDGET`` words as nearly as
+programme over all lengths left closes the last ``DP_BUDGET`` words as nearly as
 they can be. Of each length, the documents that take one more pass are the first
 by seeded hash of doc_id.
 
@@ -36,7 +36,7 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Words left to the dynamic programme; its table has this many cells at most.
 DP_BUDGET = 200_000
-#: Lengths offered to the dynamic programme; the shortest and longest left are both among them.
+#: Evenly spaced lengths offered to the dynamic programme first; all others follow while the budget is not met.
 DP_LENGTHS = 400
 SEED = 20
 HASH_PREFIXES = 1 << 14
@@ -117,7 +117,9 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
             left -= n * int(lengths[i])
     free = np.nonzero(take < counts)[0]
     if len(free) > DP_LENGTHS:
-        free = free[np.linspace(0, len(free) - 1, DP_LENGTHS).astype(int)]
+        early = np.zeros(len(free), bool)
+        early[np.linspace(0, len(free) - 1, DP_LENGTHS).astype(int)] = True
+        free = np.concatenate((free[early], free[~early]))
     more = closest_subset([int(x) for x in lengths[free]], [int(x) for x in (counts - take)[free]], max(0, left))
     take[free] += np.array(more, dtype=take.dtype)
     return take
