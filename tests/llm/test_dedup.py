@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,43 @@ def test_substrings_deal_on_a_common_anchor(spark, monkeypatch):
     assert removed(documents(spark, texts)) == dict(enumerate(repeats(texts)))
 
 
+def test_substrings_hold_a_common_window_once(monkeypatch):
+    rng = random.Random(6)
+    common = " ".join(f"shared{i}" for i in range(30))
+    texts = [prose(rng, 6) + " " + common + " " + prose(rng, 6) for _ in range(600)] + [None, common]
+    monkeypatch.setattr(substrings, "GROUP_FRAGMENTS", 20)
+    monkeypatch.setattr(substrings, "INDEX_BYTES", 1 << 13)
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    tasks = [order[i::6] for i in range(6)]
+
+    def batch(ids, *more):
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([texts[i] for i in ids], pa.string()), *more],
+                                          names=["doc", "text", "asked"][: 2 + len(more)])
+
+    packed = [b for ids in tasks for b in substrings._anchor_map(1)([batch(ids)])]
+    found = pa.Table.from_batches(list(substrings._resolve(packed))).to_pylist()
+    asked = {i: [] for i in order}
+    for r in found:
+        if r["anchor"] is not None:
+            asked[r["doc"]].append({k: r[k] for k in ("at", "n", "anchor", "parts")})
+    assert any(f["parts"] > 1 for a in asked.values() for f in a)
+    indexed = []
+    real = substrings.repeated_windows
+    monkeypatch.setattr(substrings, "repeated_windows", lambda pieces: indexed.append(sum(len(p[2]) for p in pieces)) or real(pieces))
+    for held in (1_000_000, 50):  # the latter: tasks send what they hold over and over
+        monkeypatch.setattr(substrings, "HELD_WINDOWS", held, raising=False)
+        sent = [b for ids in tasks for b in substrings._cut_pieces(64)([batch(ids, pa.array([asked[i] for i in ids]))])]
+        rows = pa.Table.from_batches(sent).sort_by([("anchor", "ascending"), ("doc", "ascending"), ("at", "ascending")])
+        runs = [(r["doc"], r["at"], r["n"]) for r in found if r["anchor"] is None]
+        for b in substrings._index_pieces(rows.to_batches(max_chunksize=500)):
+            runs += [(r["doc"], r["at"], r["n"]) for r in b.to_pylist()]
+        for i, (n, gone, spans, _) in enumerate(repeats(texts)):
+            cut = substrings._merged([(at, k) for doc, at, k in runs if doc == i], n)
+            assert (sum(b - a for a, b in cut), len(cut)) == (gone, spans)
+    assert max(indexed) < 4 * (1 << 13)
+
+
 def test_substrings_edges(spark):
     text = prose(random.Random(2), 80)
     rows = [(None, text, "en", "a", 1), (3, text, "en", "a", 1), (3, text, "en", "a", 1), (4, None, "en", "a", 1)]

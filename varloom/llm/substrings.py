@@ -14,7 +14,8 @@ up in the same one. Matches never cross documents and are judged on the input.
    kind: only around the ends of a repeat, or where a short string is common.
 3. Suffix index. Those fragments' bytes meet by anchor in bounded groups (an anchor
    with very many fragments is dealt on by the content of each window, which keeps
-   equal windows together). Per block of groups, the suffixes are sorted to the
+   equal windows together; a map task sends the first of each content, and of equal
+   pieces that meet only the first is indexed, the others are settled). Per block of groups, the suffixes are sorted to the
    threshold, and breadth-first backward extension on the Burrows-Wheeler transform
    derives the common-prefix boundaries by increasing value and stops at ``LENGTH``:
    what is not split then shares a whole window. The first of such windows stays.
@@ -48,6 +49,8 @@ BLOCK = 1 << _BITS
 #: Bytes of fragments in one suffix index, and fragments of one anchor before it is dealt on.
 INDEX_BYTES = 1 << 18
 GROUP_FRAGMENTS = 1_000
+#: Windows of dealt anchors that a task holds to settle equal ones before they are sent.
+HELD_WINDOWS = 100_000
 _SEPARATOR = 0xFF  # occurs in no UTF-8 text
 
 _rng = np.random.default_rng(SEED)
@@ -270,27 +273,58 @@ def _resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_pieces(buckets: int):
-    """Rows (doc, text, fragments) to the fragments' bytes, or each window's where an anchor is dealt on."""
+    """Rows (doc, text, fragments) to the fragments' bytes, or each window's where an anchor is dealt on.
+
+    Of such windows a task sends on the first of each content, as far as ``HELD_WINDOWS`` reach; the
+    others are repeats and go in bucket -1 - i, with the number of windows in the anchor's place.
+    """
     schema = ["bucket", "anchor", "doc", "at", "piece"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[tuple[int, bytes], tuple[int, int, int]] = {}  # anchor, window: doc, at, parts
+        out: list[tuple[int, int, int, int, bytes | None]] = []
+
+        def settled(doc: int, at: int, n: int) -> None:
+            out.append((-1 - doc % buckets, n, doc, at, None))
+
+        def send() -> None:
+            for (anchor, window), (doc, at, parts) in first.items():
+                share = anchor + 1 + xxhash.xxh3_64_intdigest(window) % parts
+                out.append((share * 2654435761 % buckets, share, doc, at, window))
+            first.clear()
+
         for batch in batches:
-            out: list[tuple[int, int, int, int, bytes]] = []
-            for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                raw = (text.as_py() or "").encode("utf-8")
-                for f in asked.as_py():
+            ids = batch.column(0).to_pylist()
+            for row in sorted(range(len(ids)), key=ids.__getitem__):  # so that few firsts are replaced
+                doc = ids[row]
+                raw = (batch.column(1)[row].as_py() or "").encode("utf-8")
+                for f in sorted(batch.column(2)[row].as_py(), key=lambda f: f["at"]):
                     at, n, anchor = f["at"], f["n"], f["anchor"]
                     if f["parts"] == 1:
                         out.append((anchor % buckets, anchor, doc, at, raw[at : at + n + LENGTH - 1]))
                         continue
-                    for i in range(at, at + n):
-                        window = raw[i : i + LENGTH]
-                        share = anchor + 1 + xxhash.xxh3_64_intdigest(window) % f["parts"]
-                        out.append((share * 2654435761 % buckets, share, doc, i, window))
+                    again = 0
+                    for i in range(at, min(at + n, len(raw) - LENGTH + 1)):
+                        key = (anchor, raw[i : i + LENGTH])
+                        held = first.setdefault(key, (doc, i, f["parts"]))
+                        if held[:2] < (doc, i):
+                            again += 1
+                            continue
+                        if held[:2] > (doc, i):
+                            settled(*held[:2], 1)
+                            first[key] = (doc, i, f["parts"])
+                        if again:
+                            settled(doc, i - again, again)
+                            again = 0
+                    if again:
+                        settled(doc, min(at + n, len(raw) - LENGTH + 1) - again, again)
+                if len(first) >= HELD_WINDOWS:
+                    send()
                 if len(out) >= 20_000:
                     yield _pieces_batch(out, schema)
-                    out = []
-            yield _pieces_batch(out, schema)
+                    out.clear()
+        send()
+        yield _pieces_batch(out, schema)
 
     return run
 
@@ -410,28 +444,48 @@ def repeated_windows(pieces: list[tuple[int, int, bytes]]) -> list[tuple[int, in
 
 
 def _index_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces sorted by anchor to runs of repeated windows; whole anchors, about INDEX_BYTES at a time."""
+    """Pieces sorted by anchor, doc and at to runs of repeated windows; whole anchors, about INDEX_BYTES at a time.
+
+    Of equal pieces of an anchor only the first is indexed, so what is held follows the different ones.
+    """
     held: list[tuple[int, int, bytes]] = []
+    first: dict[bytes, tuple[int, int]] = {}  # of the anchor at hand
+    settled: list[tuple[int, int, int]] = []
     size, last = 0, None
 
-    def runs() -> pa.RecordBatch:
-        rows = repeated_windows(held)
+    def runs(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
         columns = list(zip(*rows)) or [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "at", "n"])
 
     for batch in batches:
-        anchors = batch.column(1).to_pylist()
-        for anchor, doc, at, piece in zip(anchors, batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
-            if anchor != last and size >= INDEX_BYTES:
-                yield runs()
-                held.clear()
-                size = 0
-            last = anchor
+        columns = [batch.column(i).to_pylist() for i in range(4)]
+        for bucket, anchor, doc, at, piece in zip(*columns, batch.column(4)):
+            if bucket < 0:
+                settled.append((doc, at, anchor))
+                continue
             raw = piece.as_py()
-            held.append((doc, at, raw))
-            size += len(raw)
+            if len(raw) < LENGTH:
+                continue
+            if anchor != last:
+                first.clear()
+                if size >= INDEX_BYTES:
+                    yield runs(repeated_windows(held))
+                    held.clear()
+                    size = 0
+            last = anchor
+            place = first.get(raw)
+            if place is None:
+                first[raw] = (doc, at)
+                held.append((doc, at, raw))
+                size += len(raw)
+            elif place != (doc, at):
+                settled.append((doc, at, len(raw) - LENGTH + 1))
+        if len(settled) >= 20_000:
+            yield runs(settled)
+            settled.clear()
     if held:
-        yield runs()
+        yield runs(repeated_windows(held))
+    yield runs(settled)
 
 
 def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -449,7 +503,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
     pieces = wanted.mapInArrow(
         _cut_pieces(1 << 20), "bucket long, anchor long, doc long, at long, piece binary"
     )
-    by_anchor = pieces.repartition(width, "bucket").sortWithinPartitions("anchor")
+    by_anchor = pieces.repartition(width, "bucket").sortWithinPartitions("anchor", "doc", "at")
     verified = scratch.stage(by_anchor.mapInArrow(_index_pieces, "doc long, at long, n long"), "verified")
     return found.filter(F.col("anchor").isNull()).select("doc", "at", "n").unionByName(verified)
 
