@@ -186,6 +186,20 @@ def test_lines_of_a_common_segment_take_longer_keys(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want and sum(t == "" for t in want) >= 25
 
 
+def test_lines_of_a_template_meet_by_place(spark, monkeypatch):
+    numbers = [f"{7 * i:04d}" for i in range(500)] + [f"{i:03d}" for i in range(0, 1000, 9)]
+    head, tail = "one template of sixteen segments, all the same but for the one at ".ljust(66, "."), " and so on".ljust(58, ".")
+    count, met = len(numbers), []
+    real = lines._meet
+    monkeypatch.setattr(lines, "HEAVY", 20)
+    monkeypatch.setattr(lines, "_meet", lambda held, asked: met.append(real(held, asked).count()) or real(held, asked))
+    first, links = lines.line_links(documents(spark, [head + n + tail for n in numbers]), 1, Scratch(spark, "t"))
+    assert first.count() == count
+    want = {(i, j) for j in range(count) for i in range(j) if edit_distance(numbers[i], numbers[j]) <= 1}
+    assert {(r["doc"], r["doc2"]) for r in links.collect()} == want and want
+    assert sum(met) < count * (count - 1) // 2 // 10, (met, len(want))
+
+
 def test_lines_use_no_python(spark):
     plan = lines.dedup_lines(documents(spark, corpus()))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))

@@ -14,8 +14,9 @@ length in reach, only the substrings that the multi-match rule leaves; an equi j
 gives the pairs. A segment that very many lines share (more than ``HEAVY`` pairs) is not
 paired: its lines meet under longer keys, all of the line but one of ``DEEP_PARTS``
 segments, which lines one edit apart share too, so that only lines which differ in that
-one place meet (for ``max_edits`` over 1 there is no such key and they are paired).
-Pairs are verified by banded bit-parallel edit distance: bit d of
+one segment meet. Where these crowd as well (lines of one template), the segment is keyed
+once for each of its places, without the character there: only lines one edit apart meet
+(for ``max_edits`` over 1 there are no such keys and crowded lines are paired). Pairs are verified by banded bit-parallel edit distance: bit d of
 state k says that a prefix pair on diagonal d is within k edits, and one character of
 the longer line moves all diagonals at once.
 
@@ -27,6 +28,8 @@ places. Extra columns pass through; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,16 +87,27 @@ def probe_keys(line: Column, length: Column, max_edits: int) -> Column:
 
 
 def deep_keys(line: Column, length: Column, longer: int) -> Column:
-    """Per segment, the line without it: as one of ``length - longer`` characters with ``longer`` added there."""
+    """Per segment, the line without it (key) and the segment (part): as of ``length - longer`` characters with ``longer`` added there."""
     target = length - longer
     keys = []
     for i in range(DEEP_PARTS):
         start, size = _segment(target, i, DEEP_PARTS)
         rest = F.substr(line, start + size + longer)
-        keys.append(F.xxhash64(F.lit(i), target.cast("int"), F.substr(line, F.lit(1), start - 1), rest))
+        key = F.xxhash64(F.lit(i), target.cast("int"), F.substr(line, F.lit(1), start - 1), rest)
+        keys.append(F.struct(key.alias("key"), F.substr(line, start, size + longer).alias("part")))
     return F.array(*keys)
 
 
+def _each_place(deep: DataFrame, key: Callable[[Column, Column], Column]) -> DataFrame:
+    """key, doc, pos: ``key(place, part without the character there)`` for each place of the part."""
+    part = F.col("part")
+
+    def at(j: Column) -> Column:
+        return key(j, F.concat(F.substr(part, F.lit(1), j - 1), F.substr(part, j + 1)))
+
+    return deep.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(part)), at)).alias("key"), "doc", "pos")
+
+
 def within_edits(left: Column, right: Column, max_edits: int) -> Column:
     """Whether the edit distance of two strings is at most ``max_edits``."""
     # Bound as a lambda variable: the strings are taken apart once, not once a character.
@@ -172,6 +186,24 @@ def _texts_at(docs: DataFrame, places: DataFrame, scratch: Scratch, name: str) -
     return scratch.stage(found, f"{name}_lines")
 
 
+def _deep_pairs(same: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of crowded lines one edit apart, and some more: ``_meet`` under the deep keys, or by place where these crowd too."""
+    heavy = scratch.stage(_heavy_keys(same, same.unionByName(more)), "deep_heavy")
+    if heavy.isEmpty():
+        return _meet(same.drop("part"), same.unionByName(more))
+    many = F.broadcast(heavy) if heavy.count() * 16 <= BROADCAST_KEY_BYTES else heavy
+    light, light_more = (d.drop("part").join(many, "key", "left_anti") for d in (same, more))
+    crowd, crowd_more = (d.join(many, "key", "left_semi") for d in (same, more))
+    changed = _each_place(crowd, lambda j, rest: F.xxhash64(j, "key", rest))
+    whole = crowd.select(F.xxhash64(F.lit(-1), "key", "part").alias("key"), "doc", "pos")
+    shorter = _each_place(crowd_more, lambda j, rest: F.xxhash64(F.lit(-1), F.col("key"), rest))
+    return (
+        _meet(light, light.unionByName(light_more))
+        .unionByName(_meet(changed, changed))
+        .unionByName(_meet(whole, shorter))
+    )
+
+
 def line_links(docs: DataFrame, max_edits: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Distinct lines (doc, pos of the first place) and links between them (doc, pos < doc2, pos2)."""
     lines = _lines(docs).select(
@@ -195,10 +227,13 @@ def line_links(docs: DataFrame, max_edits: int, scratch: Scratch) -> tuple[DataF
         crowd = held.unionByName(asked).join(many, "key", "left_semi").select("doc", "pos").distinct()
         crowd = _texts_at(docs, scratch.stage(crowd, "crowd"), scratch, "crowd")
         deep = crowd.withColumn("length", F.length("line"))
-        same = deep.select(F.explode(deep_keys(F.col("line"), F.col("length"), 0)).alias("key"), "doc", "pos")
-        more = deep.select(F.explode(deep_keys(F.col("line"), F.col("length"), 1)).alias("key"), "doc", "pos")
+        same, more = (
+            deep.select(F.explode(deep_keys(F.col("line"), F.col("length"), n)).alias("d"), "doc", "pos")
+            .select("d.key", "d.part", "doc", "pos")
+            for n in (0, 1)
+        )
         light = _meet(held.join(many, "key", "left_anti"), asked.join(many, "key", "left_anti"))
-        pairs = light.unionByName(_meet(same, same.unionByName(more))).distinct()
+        pairs = light.unionByName(_deep_pairs(same, more, scratch)).distinct()
     pairs = scratch.stage(pairs, "pairs")
     # Texts of the lines in pairs only: their documents are few, the others are not read again.
     places = scratch.stage(pairs.select("doc", "pos").union(pairs.select("doc2", "pos2")).distinct(), "places")
@@ -210,7 +245,7 @@ def line_links(docs: DataFrame, max_edits: int, scratch: Scratch) -> tuple[DataF
     )
     links = spelled.select("doc", "pos", "doc2", "pos2")
     links = scratch.stage(links.distinct(), "links")
-    scratch.drop("heavy", "crowd", "crowd_owners", "crowd_lines", "places", "places_owners", "places_lines", "pairs")
+    scratch.drop("heavy", "deep_heavy", "crowd", "crowd_owners", "crowd_lines", "places", "places_owners", "places_lines", "pairs")
     return distinct.select("doc", "pos"), links
 
 
