@@ -93,3 +93,12 @@ def text_of(column: str = "text") -> Column:
 def id_order(column: str = "doc_id") -> Column:
     """A non-null sort key of an id: a null id comes before every other."""
     return F.coalesce(F.col(column), F.lit(-(2**63)).cast("long"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name for working use that ``df`` does not have (case does not tell names apart)."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name

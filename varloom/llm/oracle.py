@@ -186,6 +186,84 @@ SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
 FROM k
 """
 
+#: CRC-32 of a decimal number: per character, its code comes in with the first of eight shifts.
+_CRC = """xor(4294967295, list_reduce(
+    list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+      lambda ch: [CAST(ascii(ch) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, x: xor(xor(c, x) >> 1, CASE WHEN xor(c, x) % 2 = 1 THEN 3988292384 ELSE 0 END)))"""
+OP11 = f"""
+WITH src AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_BLANKS}') AS w, {_CRC} AS h FROM documents
+),
+plan AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS again, h // 10 AS g FROM src),
+shape AS (SELECT *, CASE WHEN again THEN g % n END AS a FROM plan),
+docs AS (
+  SELECT doc_id, n, CASE WHEN again
+    THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END])
+    ELSE w END AS w
+  FROM shape
+),
+pos AS (SELECT doc_id, n, unnest(range(0, n)) AS i, unnest(w) AS x FROM docs),
+eq AS (
+  SELECT l.doc_id, l.i, r.i - l.i AS q FROM pos l JOIN pos r ON r.doc_id = l.doc_id AND r.x = l.x
+  WHERE r.i > l.i AND 4 * (r.i - l.i) <= l.n
+),
+stretch AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + q AS len
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM eq) GROUP BY doc_id, q, k
+),
+runs AS (SELECT doc_id, s, len, min(q) AS q FROM stretch WHERE len >= greatest(6, 4 * q) GROUP BY doc_id, s, len),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, s, q) AS nth FROM runs),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY doc_id
+),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs),
+kept AS (
+  SELECT p.doc_id, string_agg(p.x, ' ' ORDER BY p.i) AS t FROM pos p ANTI JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i GROUP BY p.doc_id
+)
+SELECT d.doc_id, coalesce(l.n_runs, 0) AS n_runs, b.s AS start, CAST(b.len AS BIGINT) AS length, b.q AS period,
+  CAST(1000 * b.len // b.q AS BIGINT) AS exponent_milli, sha256(coalesce(l.t, '')) AS runs_sha256,
+  sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN listed l ON l.doc_id = d.doc_id LEFT JOIN best b ON b.doc_id = d.doc_id AND b.nth = 1
+LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM d WINDOW same AS (PARTITION BY t)
+"""
+
+
+def _round(n: int) -> str:
+    """Assignment to the centroids c{n}, and the centroids that follow."""
+    return f"""
+a{n} AS (
+  SELECT vec_id, v, arg_min(k, ROW(d, k)) AS k, min(d) AS d
+  FROM (SELECT x.vec_id, x.v, c.k, CAST(list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - c.c[i]) * (x.v[i] - c.c[i]))) AS BIGINT) AS d
+        FROM x, c{n} c) GROUP BY vec_id, v
+),
+s{n} AS (
+  SELECT k, i, CAST(sum(x) AS BIGINT) AS t, count(*) AS n FROM (SELECT k, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{n}) GROUP BY k, i
+),
+m{n} AS (SELECT k, list((t - ((t % n) + n) % n) // n ORDER BY i) AS c FROM s{n} GROUP BY k),
+c{n + 1} AS (SELECT c.k, coalesce(m.c, c.c) AS c FROM c{n} c LEFT JOIN m{n} m ON m.k = c.k)"""
+
+
+OP13 = f"""
+WITH x AS (
+  SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64
+),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS k, v AS c FROM (SELECT v, sha256('1:' || vec_id) AS h FROM x ORDER BY h LIMIT 16)
+),{_round(0)},{_round(1)},{_round(2)},{_round(3)}
+SELECT vec_id, CAST(a3.k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a3.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.c, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON c3.k = a3.k
+"""
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": OP1,
     "op4_decontamination": OP4,
@@ -193,4 +271,7 @@ ORACLE: dict[str, str] = {
     "op7_line_dedup": OP7,
     "op8_near_duplicates": OP8,
     "op9_warc": OP9,
+    "op11_periodic_runs": OP11,
+    "op12_exact_dedup": OP12,
+    "op13_centroid_clustering": OP13,
 }
