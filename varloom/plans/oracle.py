@@ -18,6 +18,7 @@ from varloom.constants import (
     VARIANT_REVIEW_STATUSES,
     VARIANT_TYPE,
 )
+from varloom.sources import fixtures
 from varloom.sources.fixtures import fixture_views_sql
 
 
@@ -124,6 +125,25 @@ def _with(select: str) -> str:
     return f"WITH {fixture_views_sql()},\n{STEPS.strip()}\n{select}"
 
 
+_SUMMARY = list(fixtures.VARIANT_SUMMARY["columns"])
+_VCF = list(fixtures.VCF["columns"])
+_DAMAGED = f"""
+damaged AS (
+  SELECT 'variant_summary' AS input, CASE VariationID::BIGINT % 17
+      WHEN 0 THEN concat_ws(chr(9), {", ".join(_SUMMARY[:-3])})
+      WHEN 1 THEN concat_ws(chr(9), {", ".join(_SUMMARY)}, 'extra') END AS line,
+    CASE VariationID::BIGINT % 17 WHEN 0 THEN 'short: {len(_SUMMARY) - 3} of {len(_SUMMARY)} fields'
+      WHEN 1 THEN 'long: {len(_SUMMARY) + 1} of {len(_SUMMARY)} fields' END AS reason
+  FROM fx_variant_summary
+  UNION ALL
+  SELECT 'vcf', concat_ws(chr(9), {", ".join(_VCF[:5])}),
+    CASE WHEN POS::BIGINT % 19 = 0 THEN 'short: 5 of {len(_VCF)} fields' END
+  FROM fx_vcf
+  UNION ALL
+  SELECT 'protein', ' ' || description, CASE WHEN length(sequence) % 5 = 0 THEN 'no id' END FROM fx_protein
+)"""
+
+
 def _context_sql(scope: str, keep_list: bool = False) -> str:
     if scope == "within_split":
         match = "o.split = r.split AND "
@@ -168,6 +188,13 @@ FROM ({_context_sql('within_split')})"""
 ORACLE: dict[str, str] = {
     "scan_variant_summary": _with("SELECT * FROM fx_variant_summary"),
     "scan_vcf": _with("SELECT * FROM fx_vcf"),
+    "scan_vcf_blocks": _with("SELECT * FROM fx_vcf"),
+    "scan_variant_summary_orders": _with("SELECT * FROM fx_variant_summary"),
+    "rejected_rows": _with(f", {_DAMAGED} SELECT input, line, reason FROM damaged WHERE reason IS NOT NULL"),
+    "rejected_counts": _with(
+        f""", {_DAMAGED} SELECT input, count(*) AS n_read, count(*) FILTER (reason IS NULL) AS n_kept, count(reason) AS n_rejected
+        FROM damaged GROUP BY input"""
+    ),
     "scan_gene2accession": _with(
         'SELECT "#tax_id" AS tax_id, GeneID AS gene_id, status, '
         '"RNA_nucleotide_accession.version" AS rna_accession, '

@@ -8,6 +8,7 @@ library's operators. Doubles are rounded to 6 digits only here, for comparison.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from varloom.operators import fit as fit_ops
 from varloom.operators import mapping, metrics, missense, phenotypes, split, variants, variation
 from varloom.plans import jobs, sinks
 from varloom.session import shared_path, stage
-from varloom.sources import fixtures, text
+from varloom.sources import blocks, fixtures, text
 from varloom.sources.parquet import read_features
 
 # ---------------------------------------------------------------------------
@@ -96,11 +97,7 @@ def scan_variant_summary(spark, sf):
 
 
 def _write_vcf(spark, df: DataFrame, path: str) -> None:
-    header = spark.createDataFrame(
-        [("##fileformat=VCFv4.1",), ("#" + "\t".join(VCF_COLUMNS),)], "value string"
-    )
-    body = df.select(F.concat_ws("\t", *[F.col(c) for c in VCF_COLUMNS]).alias("value"))
-    header.unionByName(body).write.mode("overwrite").text(path)
+    _vcf_lines(spark, df).write.mode("overwrite").text(path)
 
 
 def scan_vcf(spark, sf):
@@ -122,6 +119,78 @@ def scan_gene2accession(spark, sf):
     )
 
 
+def _vcf_lines(spark, df: DataFrame) -> DataFrame:
+    header = spark.createDataFrame([("##fileformat=VCFv4.1",), ("#" + "\t".join(VCF_COLUMNS),)], "value string")
+    return header.unionByName(df.select(F.concat_ws("\t", *[F.col(c) for c in VCF_COLUMNS]).alias("value")))
+
+
+def scan_vcf_blocks(spark, sf):
+    """The VCF as block-gzip files, read back by byte ranges."""
+    path = shared_path(spark, "vcf_blocks")
+    blocks.write_block_lines(_vcf_lines(spark, _fx(spark, sf, "fx_vcf")), path)
+    return text.read_vcf_blocks(spark, path)
+
+
+def scan_variant_summary_orders(spark, sf):
+    """The variant summary in files of two column orders, read as one."""
+    src = _fx(spark, sf, "fx_variant_summary")
+    odd = F.col("VariationID").cast("long") % 2 == 1
+    paths = [shared_path(spark, "variant_summary_odd"), shared_path(spark, "variant_summary_even")]
+    text.write_tsv(src.filter(odd), paths[0])
+    text.write_tsv(src.filter(~odd).select(*reversed(src.columns)), paths[1])
+    return jobs.read_variant_summary(spark, paths)
+
+
+def _damaged_inputs(spark, sf) -> dict[str, text.Checked]:
+    """The three inputs with some lines cut short, made longer or without an id, read with their rejected lines."""
+    summary, vcf, protein = (_fx(spark, sf, f"fx_{n}") for n in ("variant_summary", "vcf", "protein"))
+    paths = {n: shared_path(spark, f"damaged_{n}") for n in ("variant_summary", "vcf", "protein")}
+
+    full = F.concat_ws("\t", *[F.col(f"`{c}`") for c in summary.columns])
+    short = F.concat_ws("\t", *[F.col(f"`{c}`") for c in summary.columns[:-3]])
+    turn = F.col("VariationID").cast("long") % 17
+    line = F.when(turn == 0, short).when(turn == 1, F.concat(full, F.lit("\textra"))).otherwise(full)
+    header = "\t".join(summary.columns)
+    # One column whose name is the header line: the CSV writer puts it in front of each file's lines.
+    one_column = {"header": True, "sep": "\u0001", "quote": "", "escapeQuotes": False}
+    summary.select(line.alias(header)).write.mode("overwrite").options(**one_column).csv(paths["variant_summary"])
+
+    fields = [F.col(c) for c in VCF_COLUMNS]
+    cut = F.when(F.col("POS").cast("long") % 19 == 0, F.concat_ws("\t", *fields[:5])).otherwise(F.concat_ws("\t", *fields))
+    vcf.select(cut.alias("value")).write.mode("overwrite").text(paths["vcf"])
+
+    no_id = F.when(F.length("sequence") % 5 == 0, F.lit("")).otherwise(F.col("id"))
+    _write_fasta(protein.withColumn("id", no_id), paths["protein"])
+    return {
+        "variant_summary": text.checked_tsv(spark, paths["variant_summary"]),
+        "vcf": text.checked_vcf(spark, paths["vcf"]),
+        "protein": text.checked_fasta(spark, paths["protein"]),
+    }
+
+
+def rejected_rows(spark, sf):
+    """Every rejected line of the damaged inputs with its reason (files are named anew each run and left out)."""
+    found = _damaged_inputs(spark, sf)
+    return _union([c.rejected.select(F.lit(n).alias("input"), "line", "reason") for n, c in found.items()])
+
+
+def rejected_counts(spark, sf):
+    """Per input: rows read (counted in the table the lines came from), kept and rejected."""
+    found = _damaged_inputs(spark, sf)
+    parts = [
+        df.select(F.lit(n).alias("input"), F.lit(kept).alias("kept"), F.lit(1 - kept).alias("rejected"))
+        for n, c in found.items()
+        for df, kept in ((c.rows, 1), (c.rejected, 0))
+    ]
+    return _union(parts).groupBy("input").agg(
+        F.count(F.lit(1)).alias("n_read"), F.sum("kept").alias("n_kept"), F.sum("rejected").alias("n_rejected")
+    )
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 def _write_fasta(df: DataFrame, path: str, width: int = 60) -> None:
     record = F.concat(
         F.lit(">"), F.col("id"), F.lit(" "), F.col("description"), F.lit("\n"),
@@ -427,6 +496,10 @@ def fixed_weights_scores(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_variant_summary": scan_variant_summary,
     "scan_vcf": scan_vcf,
+    "scan_vcf_blocks": scan_vcf_blocks,
+    "scan_variant_summary_orders": scan_variant_summary_orders,
+    "rejected_rows": rejected_rows,
+    "rejected_counts": rejected_counts,
     "scan_gene2accession": scan_gene2accession,
     "scan_fasta": scan_fasta,
     "variant_filter": variant_filter,

@@ -10,6 +10,7 @@ what the application staged.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 import warnings
@@ -68,6 +69,17 @@ def build_session(
     return spark
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def importable(spark: SparkSession) -> None:
+    """Put this library on the Python workers' path, wherever the driver found it."""
+    environment = spark.sparkContext.environment
+    path = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in path:
+        environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, path)])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder (``spark.checkpoint.dir``).
 
