@@ -8,7 +8,11 @@ instead of recomputing, and every later branch of a plan starts from a file.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 BROADCAST_KEY_BYTES = 32 << 20
 #: Rows (of a few numbers each) that one task may handle alone.
 NARROW_ROWS = 100_000
+#: Bytes of text that a Python worker takes on at a time, whatever the rows of a batch.
+SLICE_BYTES = 4 << 20
 
 
 def importable(spark: SparkSession) -> None:
@@ -102,3 +108,23 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def require_free(df: DataFrame, *names: str) -> None:
+    """Raises where ``df`` has one of the columns that an operator would add or work with."""
+    taken = {c.lower() for c in df.columns}
+    for name in names:
+        if name.lower() in taken:
+            raise ValueError(f"documents have a column {name!r} already: rename it first")
+
+
+def text_slices(batches: Iterable[pa.RecordBatch], at: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into consecutive rows of ``limit`` bytes of text (column ``at``) at most, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = 0
+        while first < batch.num_rows:
+            before = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield batch.slice(first, last - first)
+            first = last

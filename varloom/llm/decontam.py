@@ -7,9 +7,11 @@ each document word by word and keeps the longest match that ends there; where it
 reaches a window's length, the window occurs and its words are hit.
 
 The items are cut into blocks of ``BLOCK_WORDS`` words at most (a longer item alone
-makes a block): each block's automaton is built once and sent to the tasks, whatever
-the number of items, and the documents are read once per block. A document's hits of
-several blocks are merged by doc row.
+makes a block). The items are streamed through the driver, each block's automaton is
+built there once and sent to the tasks; a task holds the automata of all blocks (about
+200 bytes a word), reads each document once and merges its hits of all blocks. Finding
+and cutting are one map: texts pass through one Python worker a task, in slices of
+bounded size.
 
 Null or empty texts and items have no words, no hit and no window; long texts are
 read whole; repeated items count as items of their own; repeated documents are each
@@ -24,8 +26,12 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from varloom.llm.common import importable, text_slices
 
 WINDOW = 10
 #: Words of benchmark text in one automaton; about 200 bytes a word in each Python worker.
@@ -167,56 +173,51 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[objec
         yield block
 
 
+def _automata(benchmark: DataFrame, window: int, block_words: int) -> list[Broadcast]:
+    """One broadcast automaton a block of items, built one after the other."""
+    spark = benchmark.sparkSession
+    importable(spark)
+    return [spark.sparkContext.broadcast(SuffixAutomaton(block, window)) for block in _blocks(benchmark, block_words)]
+
+
+def _hits(text: str | None, automata: list[Broadcast]) -> dict:
+    """The merged hit spans of a text (in words) and the item ids whose windows occur, over all blocks."""
+    words = words_of(text)
+    spans, items = [], set()
+    for automaton in automata:
+        own, found = automaton.value.matches(words)
+        spans += own
+        items |= {"null" if i is None else str(i) for i in found}
+    spans = merge_spans(spans)
+    return {
+        "n_words": len(words), "starts": [a for a, _ in spans], "ends": [b for _, b in spans], "items": sorted(items),
+    }
+
+
 def find_hits(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, column: str = "hits"
 ) -> DataFrame:
-    """Every column of ``docs`` and ``hits``: struct(n_words, starts, ends, items).
+    """Every column of ``docs`` and ``column``: struct(n_words, starts, ends, items).
 
     starts and ends are the merged hit spans in words, items the item ids (as
-    strings, each once) whose windows occur. One block (the usual case) needs no
-    shuffle. More blocks: the spans of each are joined by a row number of the block's
-    own and merged, so only rows with hits move.
+    strings, each once) whose windows occur. The documents are read once, in one map
+    without a shuffle. A column of that name in ``docs`` is an error.
     """
-    spark = docs.sparkSession
     if "text" not in docs.columns:
         raise ValueError("documents need a text column")
+    if column.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"documents have a column {column!r} already: name another")
     hits_type = "struct<n_words:bigint,starts:array<bigint>,ends:array<bigint>,items:array<string>>"
-    schema = docs.select("*", F.lit(None).cast(hits_type).alias("__hits")).schema
-    out = docs.withColumn("__hits", F.lit(None).cast(hits_type))
-    any_block = False
-    for block in _blocks(benchmark, block_words):
-        any_block = True
-        automaton = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
-        out = out.mapInArrow(_scan(automaton), schema)
-    if not any_block:
-        out = out.mapInArrow(_scan(None), schema)
-    return out.withColumnRenamed("__hits", "hits")
-
-
-def _scan(automaton):
-    """One pass of a block's automaton; adds to the hits that earlier blocks found."""
+    schema = docs.select("*", F.lit(None).cast(hits_type).alias(column)).schema
+    at, arrow_type = docs.columns.index("text"), to_arrow_type(schema[-1].dataType)
+    automata = _automata(benchmark, window, block_words)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("__hits")
-            hits = []
-            for text, old in zip(batch.column(batch.schema.get_field_index("text")), batch.column(at)):
-                words = words_of(text.as_py())
-                spans, items = automaton.value.matches(words) if automaton else ([], set())
-                items = {"null" if i is None else str(i) for i in items}
-                if old.is_valid:
-                    old = old.as_py()
-                    spans = merge_spans(spans + list(zip(old["starts"], old["ends"])))
-                    items |= set(old["items"])
-                hits.append({
-                    "n_words": len(words), "starts": [a for a, _ in spans], "ends": [b for _, b in spans],
-                    "items": sorted(items),
-                })
-            columns = list(batch.columns)
-            columns[at] = pa.array(hits, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return run
+        for batch in text_slices(batches, at):
+            hits = pa.array([_hits(text.as_py(), automata) for text in batch.column(at)], arrow_type)
+            yield pa.RecordBatch.from_arrays([*batch.columns, hits], names=[*batch.schema.names, column])
+
+    return docs.mapInArrow(run, schema)
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -272,29 +273,27 @@ def decontaminate(
     ``max_coverage`` of its words in such spans is dropped; all others stay, n_chars
     following a changed text. Documents without a hit are returned unchanged.
     """
-    hits = find_hits(docs, benchmark)
-    columns = docs.columns
+    automata = _automata(benchmark, WINDOW, BLOCK_WORDS)
+    at = {c: i for i, c in enumerate(docs.columns)}
 
-    def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = {c: batch.schema.get_field_index(c) for c in batch.schema.names}
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, at["text"]):
             keep, changed = [], {}
-            for i, (text, hit) in enumerate(zip(batch.column(at["text"]), batch.column(at["hits"]))):
-                h = hit.as_py()
+            for i, text in enumerate(batch.column(at["text"])):
+                text = text.as_py()
+                h = _hits(text, automata)
                 spans = [(a, b) for a, b in zip(h["starts"], h["ends"]) if b - a >= min_span]
                 if spans and sum(b - a for a, b in spans) >= max_coverage * h["n_words"]:
                     continue
                 if spans:
-                    changed[len(keep)] = _cut(text.as_py(), [a for a, _ in spans], [b for _, b in spans])
+                    changed[len(keep)] = _cut(text, [a for a, _ in spans], [b for _, b in spans])
                 keep.append(i)
             kept = batch.take(pa.array(keep, pa.int64()))
-            arrays = [kept.column(at[c]) for c in columns]
-            if changed:
-                new = {"text": changed, "n_chars": {i: len(t) for i, t in changed.items()}}
-                for k, c in enumerate(columns):
-                    if c in new:
-                        values = [new[c].get(i, v) for i, v in enumerate(arrays[k].to_pylist())]
-                        arrays[k] = pa.array(values, arrays[k].type)
-            yield pa.RecordBatch.from_arrays(arrays, names=columns)
-
-    return hits.mapInArrow(clean, docs.schema)
+            arrays = list(kept.columns)
+            for name, values in (("text", changed), ("n_chars", {i: len(t) for i, t in changed.items()})):
+                if changed and name in at:
+                    old = arrays[at[name]]
+                    arrays[at[name]] = pa.array([values.get(i, v) for i, v in enumerate(old.to_pylist())], old.type)
+            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)

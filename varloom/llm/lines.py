@@ -33,7 +33,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import BROADCAST_KEY_BYTES, Scratch, id_order, keep_keys
+from varloom.llm.common import BROADCAST_KEY_BYTES, Scratch, id_order, keep_keys, require_free, unused
 
 MAX_EDITS = 1
 MIN_CHARS = 20
@@ -249,11 +249,17 @@ def line_links(docs: DataFrame, max_edits: int, scratch: Scratch) -> tuple[DataF
     return distinct.select("doc", "pos"), links
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """Every column of ``docs``, the text without its repeated lines, and n_lines, n_removed, n_links.
+COUNTS = ("n_lines", "n_removed", "n_links")
+
+
+def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, names: tuple[str, str, str] = COUNTS) -> DataFrame:
+    """Every column of ``docs``, the text without its repeated lines, and n_lines, n_removed, n_links (or ``names``).
+
+    A column of one of these names in ``docs`` is an error.
 
     n_links counts the near links of the distinct lines that have their first place in the document.
     """
+    require_free(docs, *names, "__doc", "__mask", "__links", "__lines", "__left")
     scratch = Scratch(docs.sparkSession, "lines")
     first, links = line_links(docs, max_edits, scratch)
     later = links.select(F.col("doc2").alias("doc"), F.col("pos2").alias("pos")).distinct()
@@ -283,9 +289,9 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     rest = split.withColumn("__left", F.filter("__lines", stays))
     named = {c: F.col(c) for c in docs.columns}
     named["text"] = F.when(F.size("__left") < F.size("__lines"), F.array_join("__left", "\n")).otherwise(F.col("text"))
-    named["n_lines"] = F.coalesce(F.size("__lines"), F.lit(0)).cast("long")
-    named["n_removed"] = F.coalesce(F.size("__lines") - F.size("__left"), F.lit(0)).cast("long")
-    named["n_links"] = F.coalesce("__links", F.lit(0).cast("long"))
+    named[names[0]] = F.coalesce(F.size("__lines"), F.lit(0)).cast("long")
+    named[names[1]] = F.coalesce(F.size("__lines") - F.size("__left"), F.lit(0)).cast("long")
+    named[names[2]] = F.coalesce("__links", F.lit(0).cast("long"))
     return rest.select(*[c.alias(n) for n, c in named.items()])
 
 
@@ -294,8 +300,9 @@ def drop_repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFram
 
     Documents that lose no line are returned unchanged; n_chars follows a changed text.
     """
-    clean = dedup_lines(docs, max_edits)
-    changed = F.col("n_removed") > 0
+    counts = tuple(unused(docs, n) for n in COUNTS)
+    clean = dedup_lines(docs, max_edits, counts)
+    changed = F.col(counts[1]) > 0
     out = clean.filter(~(changed & (F.trim("text") == "")))
     columns = {c: F.col(c) for c in docs.columns}
     if "n_chars" in columns:

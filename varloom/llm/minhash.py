@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.llm.common import Scratch, hinted, id_order, keep_keys, narrow
+from varloom.llm.common import Scratch, hinted, id_order, keep_keys, narrow, text_slices, unused
 from varloom.llm.components import connected_components
 
 ROWS, BANDS = 6, 40
@@ -127,7 +127,7 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
 
 def _sketch(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches, 1):
             n, keys, bands, signatures = [], [], [], []
             for text in batch.column(1):
                 codes = shingle_set(text.as_py(), width)
@@ -296,6 +296,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id; same columns."""
     scratch = Scratch(docs.sparkSession, "minhash_kept")
-    gone = near_duplicates(docs, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
+    gone_id = unused(docs, "gone_id")
+    gone = near_duplicates(docs, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias(gone_id))
     gone = scratch.stage(gone.distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import Scratch, id_order, keep_keys, shuffle_width
+from varloom.llm.common import Scratch, id_order, keep_keys, require_free, shuffle_width
 
 LENGTH = 100
 GRAM = 32
@@ -523,7 +523,8 @@ def _merged(runs: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Every column of ``docs`` and kept (remaining bytes), n_bytes, n_removed, n_spans."""
+    """Every column of ``docs`` and kept (remaining bytes), n_bytes, n_removed, n_spans; a column of these names is an error."""
+    require_free(docs, "kept", "n_bytes", "n_removed", "n_spans", "__doc", "__runs")
     scratch = Scratch(docs.sparkSession, "substrings")
     runs = repeated_runs(docs, scratch)
     by_doc = scratch.stage(

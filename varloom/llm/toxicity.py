@@ -30,6 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varloom.llm.common import require_free, text_slices
 from varloom.llm.labelled import sample
 
 #: Bounds of the sample that the model is fitted on.
@@ -223,24 +224,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out:
     return fit(sample(docs, labels, "toxic", modulus, held_out, PER_CLASS, MAX_CHARS))
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` and ``score``, the calibrated probability that the text is toxic; one pass, no shuffle."""
-    schema = docs.withColumn("score", F.lit(0.0)).schema
+def score_documents(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """``docs`` and ``column``, the calibrated probability that the text is toxic; one pass, no shuffle.
+
+    A column of that name in ``docs`` is an error.
+    """
+    require_free(docs, column)
+    schema, at = docs.withColumn(column, F.lit(0.0)).schema, docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         distance = None if m.constant is not None else Distance(m.toxic, m.ordinary)
-        for batch in batches:
+        for batch in text_slices(batches, at):
             scores = []
-            for text in batch.column(batch.schema.get_field_index("text")):
+            for text in batch.column(at):
                 if distance is None:
                     scores.append(m.constant)
                     continue
                 x = (np.array(distance.features((text.as_py() or "").encode("utf-8"))) - m.mean) / m.scale
                 scores.append(float(1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -30, 30)))))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"]
+                [*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, column]
             )
 
     return docs.mapInArrow(run, schema)
