@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.llm import decontam, lines, minhash, mixing, toxicity
-from varloom.llm.common import Scratch, table
+from varloom.llm.common import Scratch, table, unused
 
 #: Not expressible in SQL: a fitted classifier comes first. Tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -20,8 +20,8 @@ ORACLE_SQL = None
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.5, fitted as in the toxicity query."""
     model = toxicity.fit_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = toxicity.score_documents(docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs, model)
-    return scored.filter(F.col("score") < 0.5).drop("score").withColumnRenamed("__score", "score")
+    score = unused(docs, "score")
+    return toxicity.score_documents(docs, model, score).filter(F.col(score) < 0.5).drop(score)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
