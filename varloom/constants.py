@@ -93,6 +93,8 @@ DECISION_THRESHOLD = 0.5
 # Hyper-parameter search: budget, iterations and hidden layer shapes to draw from.
 SEARCH_TRIALS = 15
 SEARCH_ITERATIONS = (8, 10, 12)
+# Learning rates are drawn log-uniformly between these.
+SEARCH_STEP_SIZES = (1e-5, 1e-2)
 SEARCH_HIDDEN_LAYERS = ((512, 256, 128), (1024, 512, 128), (256, 128, 64))
 
 # The full variation table: published column name and the column it comes from, in order.

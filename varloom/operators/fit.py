@@ -39,6 +39,7 @@ from varloom.constants import (
     MODEL_SIDE_NAMES,
     SEARCH_HIDDEN_LAYERS,
     SEARCH_ITERATIONS,
+    SEARCH_STEP_SIZES,
     SEARCH_TRIALS,
     SPLIT_SEED,
 )
@@ -85,9 +86,9 @@ def logistic(max_iter: int = 10, reg_param: float = 1e-5, seed: int = SPLIT_SEED
 
 
 def perceptron(n: int = MAX_SEQUENCE_LENGTH, hidden: Sequence[int] = (512, 256, 128), max_iter: int = 10,
-               seed: int = SPLIT_SEED) -> MultilayerPerceptronClassifier:
+               seed: int = SPLIT_SEED, solver: str = "l-bfgs") -> MultilayerPerceptronClassifier:
     return MultilayerPerceptronClassifier(
-        featuresCol=FEATURES, labelCol=LABEL, layers=[2 * n, *hidden, 2], maxIter=max_iter, seed=seed
+        featuresCol=FEATURES, labelCol=LABEL, layers=[2 * n, *hidden, 2], maxIter=max_iter, seed=seed, solver=solver
     )
 
 
@@ -147,15 +148,18 @@ def fit_and_score(
 
 
 def random_param_maps(estimator: Estimator, trials: int = SEARCH_TRIALS, seed: int = SPLIT_SEED) -> list[dict]:
-    """Seeded random draws: iterations; a log-uniform penalty
-    (logistic) or a hidden-layer shape (perceptron, its input width kept)."""
-    rng = random.Random(seed)
+    """Seeded random draws: iterations; a log-uniform penalty (logistic), or a hidden-layer
+    shape and a log-uniform step size (perceptron, its input width kept; without hidden
+    layers none are drawn). Only the ``gd`` solver uses the step size."""
+    rng, step_rng = random.Random(seed), random.Random(f"{seed}|step")
     maps = []
     for _ in range(trials):
         max_iter = rng.choice(SEARCH_ITERATIONS)
         if isinstance(estimator, MultilayerPerceptronClassifier):
-            hidden = rng.choice(SEARCH_HIDDEN_LAYERS)
-            maps.append({estimator.maxIter: max_iter, estimator.layers: [estimator.getLayers()[0], *hidden, 2]})
+            hidden = rng.choice(SEARCH_HIDDEN_LAYERS) if len(estimator.getLayers()) > 2 else ()
+            step = math.exp(step_rng.uniform(*map(math.log, SEARCH_STEP_SIZES)))
+            layers = [estimator.getLayers()[0], *hidden, 2]
+            maps.append({estimator.maxIter: max_iter, estimator.layers: layers, estimator.stepSize: step})
         else:
             reg = math.exp(rng.uniform(math.log(1e-6), math.log(1e-3)))
             maps.append({estimator.maxIter: max_iter, estimator.regParam: reg})
@@ -204,9 +208,11 @@ def search_models(
         m = maps[r["trial"]]
         reg = 0.0 if is_mlp else float(m[estimator.regParam])
         layers = ",".join(str(x) for x in m[estimator.layers]) if is_mlp else ""
-        rows.append((r["trial"], r["n"], r["n_correct"], r["accuracy"], r["mean_loss"], int(m[estimator.maxIter]), reg, layers))
+        step = float(m[estimator.stepSize]) if is_mlp else None
+        rows.append((r["trial"], r["n"], r["n_correct"], r["accuracy"], r["mean_loss"], int(m[estimator.maxIter]), reg, layers, step))
     runs = spark.createDataFrame(
-        rows, "trial int, n long, n_correct long, accuracy double, mean_loss double, max_iter int, reg_param double, layers string"
+        rows, "trial int, n long, n_correct long, accuracy double, mean_loss double, max_iter int, reg_param double, "
+        "layers string, step_size double"
     )
     # The run-metrics form (trial, epoch, loss, accuracy): each trial's last (only)
     # validation result is at its last iteration; the best-trial pick reads it.

@@ -51,7 +51,9 @@ def _map_condition(variants: DataFrame, tmap: DataFrame, ignore_version: bool) -
     return left == right
 
 
-def map_to_proteins(variants: DataFrame, tmap: DataFrame, ignore_version: bool = False) -> DataFrame:
+def map_to_proteins(
+    variants: DataFrame, tmap: DataFrame, ignore_version: bool = False, keep_unmapped: bool = False
+) -> DataFrame:
     """Variants with their protein accession(s); a transcript with several proteins fans out.
 
     Names without a transcript carry ``''``, which maps to nothing: they are
@@ -60,17 +62,22 @@ def map_to_proteins(variants: DataFrame, tmap: DataFrame, ignore_version: bool =
     With ``ignore_version`` the map's pairs are first made distinct on the
     unversioned transcript, so a transcript listed under several versions maps
     each variant to each protein once; ``NM_transcript`` is then the variant's
-    own transcript.
+    own transcript. With ``keep_unmapped`` the variants that have a transcript, but none in
+    the map, stay, with null map columns.
     """
+    how = "left" if keep_unmapped else "inner"
     variants = variants.filter(F.col("transcription") != "")
     tmap = tmap.filter(F.col("NM_transcript") != "")
     if not ignore_version:
-        return variants.join(tmap, _map_condition(variants, tmap, False), "inner")
+        return variants.join(tmap, _map_condition(variants, tmap, False), how)
     pairs = tmap.select(_unversioned(F.col("NM_transcript")).alias("__nm"), "NP_transcript").distinct()
-    joined = variants.join(pairs, _unversioned(variants["transcription"]) == pairs["__nm"], "inner")
+    joined = variants.join(pairs, _unversioned(variants["transcription"]) == pairs["__nm"], how)
     return joined.select(*variants.columns, F.col("transcription").alias("NM_transcript"), "NP_transcript")
 
 
 def unmapped_variants(variants: DataFrame, tmap: DataFrame, ignore_version: bool = False) -> DataFrame:
     """Variants whose transcript has no protein in the map (what the mapping drops)."""
-    return variants.join(tmap, _map_condition(variants, tmap, ignore_version), "left_anti")
+    tmap = tmap.filter(F.col("NM_transcript") != "")
+    # '' maps to nothing: such rows skip the join, where one key would ship them all to one task.
+    named, nameless = (variants.filter(c) for c in (F.col("transcription") != "", F.coalesce(F.col("transcription"), F.lit("")) == ""))
+    return named.join(tmap, _map_condition(named, tmap, ignore_version), "left_anti").unionByName(nameless)

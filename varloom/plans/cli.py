@@ -31,7 +31,7 @@ from varloom.constants import (
 from varloom.operators import context as ctx_ops
 from varloom.operators import fit as fit_ops
 from varloom.operators import split as split_ops
-from varloom.plans import jobs, sinks
+from varloom.plans import jobs, publish, sinks
 from varloom.session import build_session, clean_scratch
 
 
@@ -62,6 +62,11 @@ def _parser() -> argparse.ArgumentParser:
     etl.add_argument("--model-width", type=int, default=None,
                      help=f"ML table with POS_vector/Patho_Vector/ClinSigSimple padded to this width ({MODEL_VECTOR_LENGTH} for the model scripts)")
 
+    etl.add_argument("--rejected", action="store_true", help="also write the malformed input lines with their reasons")
+    etl.add_argument("--counts", action="store_true", help="also write what each step passed and dropped")
+    etl.add_argument("--versioned", action="store_true",
+                     help="write a run folder and publish all tables at once; read them as OUT_DIR#table")
+
     ml = sub.add_parser("ml", help="full variation table -> split ML table")
     ml.add_argument("--full-variation", required=True)
     ml.add_argument("--out", required=True)
@@ -87,6 +92,10 @@ def _parser() -> argparse.ArgumentParser:
     fit.add_argument("--model", choices=("logistic", "perceptron"), default="logistic",
                      help="logistic regression, or a feed-forward perceptron searched over layer shapes")
 
+    how = fit.add_mutually_exclusive_group()
+    how.add_argument("--epochs", type=int, help="one perceptron instead of a search: a metrics row an epoch, the best epoch's model")
+    how.add_argument("--halving", action="store_true", help="successive halving of the perceptron's trials instead of full fits")
+
     evaluate = sub.add_parser("evaluate", help="stored models on an ML table -> accuracy and loss per model and split")
     evaluate.add_argument("--ml-table", required=True)
     evaluate.add_argument("--model", required=True, nargs="+", metavar="NAME=FOLDER")
@@ -129,21 +138,26 @@ def _run(spark, args) -> None:
                 "variant_type": args.variant_type, "assembly": args.assembly,
                 "review_statuses": args.review_status, "significances": args.significance,
             },
+            rejected=args.rejected, counts=args.counts, versioned=args.versioned,
         )
         for name, path in paths.items():
             print(f"{name}\t{path}")
     elif args.command == "ml":
-        jobs.run_ml_dataset(spark, args.full_variation, args.out, args.context_scope, args.split_key, not args.sparse,
+        jobs.run_ml_dataset(spark, publish.resolve(spark, args.full_variation), args.out, args.context_scope, args.split_key, not args.sparse,
                             n=args.vector_length, model_width=args.model_width)
     elif args.command == "score":
         _report(jobs.run_score_report(spark, args.scores, args.by).orderBy(*args.by), args.out)
     elif args.command == "fit":
         n = args.vector_length
-        estimator = fit_ops.perceptron(n, seed=args.seed) if args.model == "perceptron" else fit_ops.logistic()
-        jobs.run_fit(spark, args.ml_table, args.out, args.model_out, estimator, args.trials, args.seed, n)
+        if (args.epochs or args.halving) and args.model != "perceptron":
+            raise SystemExit("--epochs and --halving continue fits, which only --model perceptron can")
+        solver = "gd" if args.halving else "l-bfgs"
+        estimator = fit_ops.perceptron(n, seed=args.seed, solver=solver) if args.model == "perceptron" else fit_ops.logistic()
+        table = publish.resolve(spark, args.ml_table)
+        jobs.run_fit(spark, table, args.out, args.model_out, estimator, args.trials, args.seed, n, args.epochs, args.halving)
     elif args.command == "evaluate":
         models = dict(pair.split("=", 1) for pair in args.model)
-        scores = jobs.score_stored_models(spark, args.ml_table, models, args.splits, args.vector_length)
+        scores = jobs.score_stored_models(spark, publish.resolve(spark, args.ml_table), models, args.splits, args.vector_length)
         if args.scores_out:
             sinks.write_parquet(scores, args.scores_out)
             scores = spark.read.parquet(args.scores_out)

@@ -125,6 +125,10 @@ def _with(select: str) -> str:
     return f"WITH {fixture_views_sql()},\n{STEPS.strip()}\n{select}"
 
 
+_BATCH = """(row_number() OVER (PARTITION BY split ORDER BY
+  md5(concat_ws('|', '42', 'shuffle', NP_transcript, position, phenotype_list)), NP_transcript, position, phenotype_list) - 1) // 256"""
+_STATED_LOGIT = f"""((37 * (TRY_CAST(position AS INTEGER) - 1)) % 101 - 50
+  + coalesce(list_sum(list_transform(lst, lambda c: (37 * ({N} + c - 1)) % 101 - 50)), 0)) / 100.0::DOUBLE"""
 _SUMMARY = list(fixtures.VARIANT_SUMMARY["columns"])
 _VCF = list(fixtures.VCF["columns"])
 _DAMAGED = f"""
@@ -316,10 +320,57 @@ ORACLE: dict[str, str] = {
     ),
     "fixed_weights_scores": _with(
         f"""SELECT NP_transcript, position, phenotype_list, split, CAST({2 * N} AS BIGINT) AS width,
-              ((37 * (TRY_CAST(position AS INTEGER) - 1)) % 101 - 50
-               + coalesce(list_sum(list_transform(lst, lambda c: (37 * ({N} + c - 1)) % 101 - 50)), 0)) / 100.0::DOUBLE AS logit
+              {_STATED_LOGIT} AS logit
             FROM ({_context_sql('within_split', keep_list=True)})"""
     ),
+    "global_batches": _with(f"SELECT NP_transcript, position, phenotype_list, split, {_BATCH} AS batch_id FROM splits"),
+    "global_batch_mean_loss": _with(
+        f"""SELECT split, count(*) AS n_batches, round(avg(l), 6) AS batch_mean_loss, round(sum(s) / sum(n), 6) AS row_mean_loss
+        FROM (SELECT split, batch_id, avg(loss) AS l, sum(loss) AS s, count(*) AS n
+              FROM (SELECT split, {_BATCH} AS batch_id,
+                      greatest(logit, 0.0) - logit * is_pathogenic + ln(1 + exp(-abs(logit))) AS loss
+                    FROM (SELECT *, {_STATED_LOGIT} AS logit FROM ({_context_sql('within_split', keep_list=True)})))
+              GROUP BY split, batch_id) GROUP BY split"""
+    ),
+    "split_by_protein": _with(
+        """, g AS (SELECT NP_transcript AS k, count(*) AS n, md5(concat_ws('|', '42', 'balanced', NP_transcript)) AS h FROM ph_one GROUP BY 1),
+        o AS (SELECT *, row_number() OVER (ORDER BY n DESC, h, k) AS i, sum(n) OVER () AS total FROM g),
+        deal AS (
+          SELECT 0::BIGINT AS i, 0::BIGINT AS n, 0 AS p, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c
+          UNION ALL
+          SELECT i, n, p, a + CASE p WHEN 1 THEN n ELSE 0 END, b + CASE p WHEN 2 THEN n ELSE 0 END, c + CASE p WHEN 3 THEN n ELSE 0 END
+          FROM (SELECT o.i, o.n, d.a, d.b, d.c,
+                  CASE WHEN 70 * total - 100 * a >= 15 * total - 100 * least(b, c) THEN 1 WHEN b <= c THEN 2 ELSE 3 END AS p
+                FROM deal d JOIN o ON o.i = d.i + 1)
+        ),
+        q AS (SELECT n, count(*) FILTER (p = 1) AS m1, count(*) FILTER (p = 2) AS m2 FROM deal WHERE i > 0 GROUP BY n),
+        r AS (SELECT k, n, row_number() OVER (PARTITION BY n ORDER BY h, k) AS j FROM g)
+        SELECT NP_transcript, position, phenotype_list,
+          CASE WHEN j <= m1 THEN 'train' WHEN j <= m1 + m2 THEN 'val' ELSE 'test' END AS split
+        FROM ph_one JOIN r ON r.k = NP_transcript JOIN q ON q.n = r.n"""
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+    "epoch_metrics": "SELECT 0 AS trial, 4::BIGINT AS n_epochs, 4::BIGINT AS n_rows, true AS best_is_lowest, true AS reloaded_model_has_it",
+    "halving_rungs": """SELECT * FROM (VALUES (0, 15::BIGINT, 1, true), (1, 4::BIGINT, 4, true), (2, 1::BIGINT, 16, true))
+        AS t(rung, n_trials, n_epochs, replay_agrees)""",
+    "pass_counts": _with(
+        """, early AS (SELECT * FROM vs_filtered WHERE VariationID IN (SELECT VariationID FROM mids))
+        SELECT 'summary_rows' AS step, count(*) AS n FROM fx_variant_summary
+        UNION ALL SELECT 'filtered_rows', count(*) FROM vs_filtered
+        UNION ALL SELECT 'missense_rows', count(*) FROM early
+        UNION ALL SELECT 'variants', count(*) FROM mvars
+        UNION ALL SELECT 'no_transcript', count(*) FROM mvars WHERE transcription = ''
+        UNION ALL SELECT 'unmapped_variants', count(*) FROM mvars
+          WHERE transcription <> '' AND transcription NOT IN (SELECT NM_transcript FROM tmap)
+        UNION ALL SELECT 'mapped_rows', count(*) FROM mapped
+        UNION ALL SELECT 'full_rows', count(*) FROM full_var
+        UNION ALL SELECT 'unsequenced_rows', count(*) FROM full_var WHERE NP_transcript NOT IN (SELECT id FROM seqs)
+        UNION ALL SELECT 'written_rows', count(*) FROM full_var JOIN seqs ON id = NP_transcript"""
+    ),
+    "missense_features": _with("SELECT * FROM mvars"),
+    "context_bucketed": _with(
+        _context_sql("within_split").replace("FROM splits", "FROM (SELECT * FROM splits WHERE NP_transcript IN (SELECT id FROM seqs))")
+    ),
+    "published_sequences": _with("SELECT id, sequence FROM seqs"),
     "score_rows": _with(
         "SELECT key, model, split, batch_id, label, round(logit, 6) AS logit, predicted, correct, "
         "round(loss, 6) AS loss FROM scored"

@@ -7,11 +7,12 @@ library's operators. Doubles are rounded to 6 digits only here, for comparison.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varloom.constants import ML_KEY_COLUMNS, MODEL_VECTOR_LENGTH, VCF_COLUMNS
@@ -19,10 +20,11 @@ from varloom.functions import vectors
 from varloom.functions.hgvs import with_name_parts
 from varloom.functions.amino import one_letter
 from varloom.functions.sequence import position_index
+from varloom.operators import balance, batches, epochs
 from varloom.operators import context as ctx_ops
 from varloom.operators import fit as fit_ops
 from varloom.operators import mapping, metrics, missense, phenotypes, split, variants, variation
-from varloom.plans import jobs, sinks
+from varloom.plans import jobs, layout, publish, sinks
 from varloom.session import shared_path, stage
 from varloom.sources import blocks, fixtures, text
 from varloom.sources.parquet import read_features
@@ -78,6 +80,7 @@ def _scored(spark, sf):
 
 
 PREVIEW_ROWS = 20
+BUCKETS = 8
 
 
 def _r6(name: str) -> F.Column:
@@ -487,10 +490,112 @@ def fixed_weights_scores(spark, sf):
     """Logits of a linear model with stated weights over the concatenated input (weight of slot j from 0:
     ``((37 j) mod 101 - 50) / 100``)."""
     rows = fit_ops.with_features(jobs.ml_frame(_full(spark, sf)))
-    x = vector_to_array(F.col(fit_ops.FEATURES)).cast("array<long>")
-    parts = F.transform(x, lambda v, j: v * (F.pmod(j * 37, F.lit(101)) - 50))
-    total = F.aggregate(parts, F.lit(0).cast("long"), lambda a, v: a + v)
-    return rows.select(*ML_KEY_COLUMNS, "split", (total / 100.0).alias("logit"), F.size(x).cast("long").alias("width"))
+    return rows.select(*ML_KEY_COLUMNS, "split", _stated_logit().alias("logit"), F.size(_inputs()).cast("long").alias("width"))
+
+
+def _inputs() -> F.Column:
+    return vector_to_array(F.col(fit_ops.FEATURES)).cast("array<long>")
+
+
+def _stated_logit() -> F.Column:
+    parts = F.transform(_inputs(), lambda v, j: v * (F.pmod(j * 37, F.lit(101)) - 50))
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda a, v: a + v) / 100.0
+
+
+# ---------------------------------------------------------------------------
+# Global batches, balanced split, epochs, halving, counts, layout
+# ---------------------------------------------------------------------------
+
+
+def global_batches(spark, sf):
+    """Batches of 256 rows in the seeded order, full but for each part's last."""
+    return batches.assign_batches(_split_rows(spark, sf)).select(*ML_KEY_COLUMNS, "split", "batch_id")
+
+
+def global_batch_mean_loss(spark, sf):
+    """Mean of batch means of the stated linear model, over global batches of the ML table read back."""
+    path = shared_path(spark, "ml_batches")
+    sinks.write_ml_table(jobs.ml_frame(_full(spark, sf)), path, dense=False)
+    rows = fit_ops.with_features(fit_ops.ml_rows_of(spark.read.parquet(path)))
+    scored = metrics.score_rows(rows.select(*ML_KEY_COLUMNS, "split", _stated_logit().alias("logit"), fit_ops.LABEL))
+    out = metrics.batch_mean_loss(batches.assign_batches(scored), by=["split"])
+    return out.select("split", "n_batches", _r6("batch_mean_loss"), _r6("row_mean_loss"))
+
+
+def split_by_protein(spark, sf):
+    """Whole proteins to parts by size, largest first."""
+    return balance.assign_balanced(_ml_rows(spark, sf)).select(*ML_KEY_COLUMNS, "split")
+
+
+def epoch_metrics(spark, sf):
+    """Real epochs: how many, that the picked one has the lowest loss, and that its reloaded model has that loss."""
+    train, validation = jobs.fit_parts(jobs.ml_frame(_full(spark, sf)))
+    run = epochs.fit_epochs(train, validation, fit_ops.perceptron(hidden=(4,)), epochs=4, steps=2)
+    path = shared_path(spark, "best_epoch_model")
+    fit_ops.save_model(run.model, path)
+    again = fit_ops.validation_scores({0: fit_ops.load_model(spark, path)}, validation).agg(F.avg("loss").alias("again"))
+    best = metrics.best_epoch(run.runs).join(F.broadcast(again))
+    lowest = run.runs.agg(F.min("loss").alias("lowest"), F.count(F.lit(1)).alias("n_rows"))
+    return best.join(F.broadcast(lowest)).select(
+        "trial", "n_epochs", "n_rows", (F.col("best_loss") == F.col("lowest")).alias("best_is_lowest"),
+        (F.abs(F.col("again") - F.col("best_loss")) < 1e-9).alias("reloaded_model_has_it"),
+    )
+
+
+def halving_rungs(spark, sf):
+    """Successive halving: each rung's trials and epochs, and that a replay of the metrics table picks the same trials."""
+    train, validation = jobs.fit_parts(jobs.ml_frame(_full(spark, sf)))
+    result = epochs.successive_halving(train, validation, fit_ops.perceptron(hidden=(), solver="gd"))
+    went = result.runs.select((F.col("rung") - 1).alias("rung"), "trial", F.lit(True).alias("went"))
+    last = F.max("rung").over(Window.partitionBy())
+    told = epochs.replay(result.runs).join(went, ["rung", "trial"], "left").withColumn("last", last)
+    agrees = (F.col("rung") == F.col("last")) | (F.col("goes_on") == F.coalesce("went", F.lit(False)))
+    per_rung = result.runs.groupBy("rung").agg(F.max("epoch").alias("n_epochs"))
+    counted = told.groupBy("rung").agg(F.count(F.lit(1)).alias("n_trials"), F.every(agrees).alias("replay_agrees"))
+    return counted.join(per_rung, "rung").select("rung", "n_trials", "n_epochs", "replay_agrees")
+
+
+def pass_counts(spark, sf):
+    """What each step of the full dataset's job passed and dropped, counted while it was written."""
+    full, counts = jobs.counted_full_variation_frame(
+        _fx(spark, sf, "fx_variant_summary"), _ids(spark, sf), _tmap(spark, sf), _sequences(spark, sf)
+    )
+    sinks.write_parquet(full, shared_path(spark, "counted_full"))
+    return counts.table(spark)
+
+
+def missense_features(spark, sf):
+    """The missense variants' features with the ids applied before the dedupe."""
+    return jobs.missense_features_frame(_fx(spark, sf, "fx_variant_summary"), _ids(spark, sf))
+
+
+def context_bucketed(spark, sf):
+    """The sequence join and the context over tables bucketed on the protein."""
+    tables = {n: f"varloom_{n}_{uuid.uuid4().hex[:8]}" for n in ("full", "sequences")}
+    full = layout.write_bucketed(_full(spark, sf), tables["full"], shared_path(spark, "full"), layout.PROTEIN, BUCKETS)
+    seqs = layout.write_bucketed(_sequences(spark, sf), tables["sequences"], shared_path(spark, "seqs"), layout.SEQUENCE_ID, BUCKETS)
+    path = shared_path(spark, "context_bucketed")
+    with layout.bucket_session(spark):
+        sinks.write_parquet(layout.context_rows(layout.sequenced(full, seqs)), path)
+    out = spark.read.parquet(path)
+    return out.withColumns(
+        {
+            "n_context": F.size("context_positions").cast("long"),
+            "context_positions": vectors.join_ints(F.col("context_positions")),
+        }
+    )
+
+
+def published_sequences(spark, sf):
+    """Two runs' tables published one after the other, a third that fails before its manifest; read as the current version."""
+    root, seqs = shared_path(spark, "published"), _sequences(spark, sf)
+    for prefix in ("NP_0000", "NP_"):
+        run, folder = publish.begin(root)
+        sinks.write_parquet(seqs.filter(F.startswith("id", F.lit(prefix))), f"{folder}/sequences")
+        publish.publish(spark, root, run, {"sequences": f"{folder}/sequences"})
+    _, folder = publish.begin(root)
+    sinks.write_parquet(seqs.limit(0), f"{folder}/sequences")
+    return spark.read.parquet(publish.resolve(spark, f"{root}#sequences"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -543,4 +648,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fit_logistic": fit_logistic,
     "search_best": search_best,
     "fixed_weights_scores": fixed_weights_scores,
+    "global_batches": global_batches,
+    "global_batch_mean_loss": global_batch_mean_loss,
+    "split_by_protein": split_by_protein,
+    "epoch_metrics": epoch_metrics,
+    "halving_rungs": halving_rungs,
+    "pass_counts": pass_counts,
+    "missense_features": missense_features,
+    "context_bucketed": context_bucketed,
+    "published_sequences": published_sequences,
 }
