@@ -7,13 +7,19 @@ gets ``BANDS * ROWS`` minima of universal hash functions; representatives that a
 on all ``ROWS`` minima of a band share a bucket. A pair in a bucket is checked on its
 signatures, then confirmed on the full sets: intersection / union >= ``percent``/100.
 
-No bucket is expanded into all its pairs. Per round, each bucket names hubs (one,
-then ``HUB_GROWTH`` times as many as the round before) and every member is compared with them;
-components are taken from all links so far, and only members that no path links yet
-go on: a pair inside one component cannot change the result, a pair whose distances
-to the bucket's first hub differ by more than the limit cannot be a link (Jaccard
-distance is a metric). Rounds end when no bucket holds two unlinked, uncompared
-members, so every pair that shares a bucket is linked by a path, compared or excluded.
+A bucket is worked through in two steps. First, each bucket names one hub, the member that
+shares the most bucket places with others (a central one; hardly differing buckets name
+the same), and every member is compared with it: first the signatures, then, of pairs they
+do not rule out, the full sets. Components are taken from these links. Then only buckets
+whose members are in several components go on: their members are cut into cells by
+component (the hub's, or another) and distance to the hub, large cells into chunks of
+``CHUNK`` members, and chunks meet in pairs, except two of the hub's component and those
+whose distances to the hub differ by more than a link can (Jaccard distance is a metric).
+A task compares two chunks at once: signatures as one matrix, then, where any agree
+enough, intersections of the full sets as one matrix product; it returns a forest of the
+links it finds between different components, never the pairs. So every two members of a
+bucket are linked by a path, compared or excluded, and what moves is linear in the
+members but for the chunks of a bucket that stays mixed, which meet pairwise.
 A pair at exactly 0.8 shares no bucket with a chance of 5e-6.
 
 Null or empty texts have the empty set, link with nothing and are their own
@@ -29,17 +35,22 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import Scratch, hinted, id_order, keep_keys, narrow, text_slices, unused
+from varloom.llm.common import Scratch, hinted, id_order, keep_keys, text_slices, unused
 from varloom.llm.components import connected_components
 
 ROWS, BANDS = 6, 40
 SEED = 11
 #: Signatures that agree on less than the limit by this many standard errors are rejected.
 SIGNATURE_MARGIN = 6.0
-HUB_GROWTH = 8
+#: Members of a bucket that are compared as one matrix, and bytes of their sets.
+CHUNK, CHUNK_BYTES = 128, 1 << 20
+#: Chunk pairs that a Python worker takes at a time.
+CHUNK_ROWS = 32
+#: Width of a cell's distances to the hub, in hundredths.
+CELL = 5
 NO_ID = -(2**63)
 
 _rng = np.random.default_rng(SEED)
@@ -145,74 +156,189 @@ def _sketch(width: int):
     return run
 
 
-def _confirm(width: int, percent: int):
-    """(hub, id, linked, similarity) of each pair; similarity is null where the signatures rule it out."""
+def _codes(width: int):
+    """set_key, n and the set itself (codes, 8 bytes a shingle)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 0):
+            raw = [shingle_set(text.as_py(), width).tobytes() for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([xxhash.xxh128_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())],
+                names=["set_key", "codes"],
+            )
+
+    return run
+
+
+def _least(percent: int) -> float:
+    """Agreeing minima under which a signature rules a link out."""
+    m, limit = ROWS * BANDS, percent / 100
+    return (limit - SIGNATURE_MARGIN * np.sqrt(limit * (1 - limit) / m)) * m
+
+
+def _agreeing(percent: int):
+    """The pairs whose signatures do not rule a link out."""
+    least = _least(percent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = ROWS * BANDS
-        limit = percent / 100
-        least = (limit - SIGNATURE_MARGIN * np.sqrt(limit * (1 - limit) / m)) * m
-        hub_text, hub_set = None, None
         for batch in batches:
-            linked, similar = [], []
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("hub_signature", "signature", "hub_text", "text")]
-            for hs, s, ht, t in zip(*columns):
-                same = np.frombuffer(hs.as_py(), np.uint8) == np.frombuffer(s.as_py(), np.uint8)
-                if int(same.sum()) < least:
-                    linked.append(False)
-                    similar.append(None)
-                    continue
-                ht = ht.as_py()
-                if ht != hub_text:  # rows come grouped by hub where the join sorts
-                    hub_text, hub_set = ht, shingle_set(ht, width)
-                own = shingle_set(t.as_py(), width)
-                common = len(np.intersect1d(hub_set, own, assume_unique=True))
-                union = len(hub_set) + len(own) - common
+            one, two = (_matrix(batch.column(batch.schema.get_field_index(c))) for c in ("hub_signature", "signature"))
+            keep = np.nonzero((one == two).sum(axis=1) >= least)[0]
+            yield batch.take(pa.array(keep)).select(["hub", "hub_rep", "set_key", "rep"])
+
+    return run
+
+
+def _matrix(signatures: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(len(signatures), ROWS * BANDS)
+
+
+def _confirm(percent: int):
+    """hub, set_key, the ids of both, linked, distance of each pair, from the full sets."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked, distance = [], []
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("hub_codes", "codes")]
+            for one, two in zip(*columns):
+                one, two = (np.frombuffer(c.as_py(), np.uint64) for c in (one, two))
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                union = len(one) + len(two) - common
                 linked.append(100 * common >= percent * union)
-                similar.append(common / union)
+                distance.append(1 - common / union)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("hub")), batch.column(batch.schema.get_field_index("id")),
-                 pa.array(linked, pa.bool_()), pa.array(similar, pa.float64())],
-                names=["hub", "id", "linked", "similarity"],
-            )
+                [*batch.select(["hub", "hub_rep", "set_key", "rep"]).columns, pa.array(linked, pa.bool_()), pa.array(distance, pa.float64())],
+                names=["hub", "hub_rep", "set_key", "rep", "linked", "distance"],
+            )
 
     return run
 
 
-def _ranked(members: DataFrame) -> DataFrame:
-    """``turn``: the order in which a bucket's members serve as hubs, small components first."""
-    return members.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("size", "id")))
+def intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many codes each set of ``one`` has in common with each of ``two`` (sorted, distinct codes)."""
+    shared = np.intersect1d(np.concatenate(one), np.concatenate(two))
+    out = np.zeros((len(one), len(two)), np.float32)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        owner = np.repeat(np.arange(len(sets)), [len(c) for c in sets])
+        codes = np.concatenate(sets)
+        at = np.searchsorted(shared, codes)
+        at[at == len(shared)] = 0
+        known = shared[at] == codes
+        return owner[known], at[known]
+
+    if not len(shared):
+        return out.astype(np.int64)
+    sides = places(one), places(two)
+    for low in range(0, len(shared), 8192):
+        dense = []
+        for (owner, at), sets in zip(sides, (one, two)):
+            inside = (at >= low) & (at < low + 8192)
+            x = np.zeros((len(sets), min(8192, len(shared) - low)), np.float32)
+            x[owner[inside], at[inside] - low] = 1
+            dense.append(x)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
+def chunk_links(one: dict, two: dict, percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components of two chunks, as a forest; exact.
+
+    A chunk has the arrays rep, component and signature, and codes (a list of sets).
+    """
+    agree = np.stack([(two["signature"] == s).sum(axis=1) for s in one["signature"]]) >= _least(percent)
+    agree &= one["component"][:, None] != two["component"][None, :]
+    rows, columns = np.nonzero(agree.any(axis=1))[0], np.nonzero(agree.any(axis=0))[0]
+    if not len(rows):
+        return []
+    left, right = [one["codes"][i] for i in rows], [two["codes"][j] for j in columns]
+    common = intersections(left, right)
+    sizes = np.array([len(c) for c in left])[:, None] + np.array([len(c) for c in right])[None, :]
+    linked = (100 * common >= percent * (sizes - common)) & agree[np.ix_(rows, columns)]
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = up
+        return c
 
+    out = []
+    for i, j in np.argwhere(linked):
+        u, v = rows[i], columns[j]
+        a, b = find(int(one["component"][u])), find(int(two["component"][v]))
+        if a != b:
+            root[a] = b
+            out.append((int(one["rep"][u]), int(two["rep"][v])))
+    return out
 
-def _pairs(members: DataFrame, hubs: int, percent: int) -> DataFrame:
-    """Pairs (hub < id) of each bucket's next hubs with the members that may still be new links."""
-    other = _ranked(members).filter(F.col("turn") <= hubs).select(
-        "key", *[F.col(c).alias(f"hub_{c}") for c in ("id", "n", "component", "distance")]
-    )
+
+def _compare_chunks(percent: int):
+    def read(members) -> dict:
+        members = members.values
+        field = lambda name: members.field(members.type.get_field_index(name))
+        return {
+            "rep": field("rep").to_numpy(), "component": field("component").to_numpy(),
+            "signature": _matrix(field("signature")),
+            "codes": [np.frombuffer(c.as_py(), np.uint64) for c in field("codes")],
+        }
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = []
+            for one, two in zip(batch.column(0), batch.column(1)):
+                links += chunk_links(read(one), read(two), percent)
+            u, v = ([link[i] for link in links] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _hub_links(members: DataFrame, signs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """hub, hub_rep, set_key, rep, linked, distance of every member that its bucket's hub's signature does not rule out."""
     small, large = F.least("n", "hub_n"), F.greatest("n", "hub_n")
-    apart = F.abs(F.col("distance") - F.col("hub_distance")) > (100 - percent) / 100 + 1e-9
-    return (
-        members.join(other, "key")
-        .filter((F.col("component") != F.col("hub_component")) & (100 * small >= percent * large))
-        .filter(~F.coalesce(apart, F.lit(False)))
-        .select(F.least("id", "hub_id").alias("hub"), F.greatest("id", "hub_id").alias("id"))
-        .distinct()
+    pairs = (
+        members.filter((F.col("set_key") != F.col("hub")) & (100 * small >= percent * large))
+        .select("hub", "hub_rep", "set_key", "rep").distinct()
+    )
+    hub_signs = signs.select(F.col("set_key").alias("hub"), F.col("signature").alias("hub_signature"))
+    names = "hub binary, hub_rep long, set_key binary, rep long"
+    agreeing = pairs.join(signs, "set_key").join(hub_signs, "hub").mapInArrow(_agreeing(percent), names)
+    hub_codes = known.select(F.col("set_key").alias("hub"), F.col("codes").alias("hub_codes"))
+    return agreeing.join(known, "set_key").join(hub_codes, "hub").mapInArrow(
+        _confirm(percent), f"{names}, linked boolean, distance double"
     )
 
 
-def _still_open(members: DataFrame, hubs: int, links: DataFrame, tested: DataFrame) -> DataFrame:
-    """Members that have not been hubs, of the buckets in which not all of them are linked yet."""
-    rest = _ranked(members).filter(F.col("turn") > hubs).select("key", "first", "id", "n", "distance")
-    placed = rest.join(links, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    left = placed.join(mixed, "key", "left_semi")
-    sizes = left.groupBy("key", "component").agg(F.count("*").alias("size"))
-    known = tested.select(F.col("hub").alias("first"), "id", (1 - F.col("similarity")).alias("now"))
-    return (
-        left.join(sizes, ["key", "component"])
-        .join(known, ["first", "id"], "left")
-        .select("key", "first", "id", "n", "component", "size", F.coalesce("distance", "now").alias("distance"))
+def _chunk_links(open_: DataFrame, signs: DataFrame, known: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """u, v: links between members of different components in the buckets that are still mixed."""
+    spark = open_.sparkSession
+    cell = ["key", "main", "near"]
+    sizes = open_.groupBy(*cell).agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
+    parts = F.ceil(F.greatest(F.col("members") / CHUNK, 8 * F.col("total") / CHUNK_BYTES))
+    dealt = open_.join(sizes.select(*cell, parts.alias("parts")), cell)
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("set_key"), F.col("parts")))
+    chunks = dealt.join(signs, "set_key").join(known, "set_key").groupBy(*cell, "chunk").agg(
+        F.collect_list(F.struct("rep", "component", "signature", "codes")).alias("list")
+    )
+    chunks = scratch.stage(chunks.withColumn("name", F.xxhash64(*cell, "chunk", F.lit(SEED))), "chunks")
+    places = chunks.select("key", "main", "near", "name")
+    other = places.select("key", *[F.col(c).alias(f"{c}2") for c in ("main", "near", "name")])
+    # Cells of ``CELL`` hundredths: these many cells apart, the distances differ by over (100 - percent) / 100.
+    apart = -(-(100 - percent) // CELL) + 2
+    meet = (F.col("name") <= F.col("name2")) & ~(F.col("main") & F.col("main2")) & (
+        (F.col("near") < 0) | (F.col("near2") < 0) | (F.abs(F.col("near") - F.col("near2")) < apart)
     )
+    pairs = places.join(other, "key").filter(meet).select("name", "name2")
+    lists = chunks.select("name", "list")
+    both = pairs.join(lists, "name").join(lists.select(F.col("name").alias("name2"), F.col("list").alias("list2")), "name2")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, str(CHUNK_ROWS))  # a row holds two chunks
+    try:
+        return scratch.stage(both.select("list", "list2").mapInArrow(_compare_chunks(percent), "u long, v long"), "chunk_links")
+    finally:
+        spark.conf.set(batch, before)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -228,57 +354,55 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = scratch.stage(some.groupBy("set_key").agg(F.min("id").alias("rep")), "classes")
     reps = classes.select(F.col("set_key").alias("rep_key"), "rep")
     first = some.join(reps, (F.col("set_key") == F.col("rep_key")) & (F.col("id") == F.col("rep")), "left_semi")
-    banded = first.select("id", "n", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    members = scratch.stage(
-        banded.join(shared.select("key", "first"), "key").distinct().select(
-            "key", "first", "id", "n", F.col("id").alias("component"), F.lit(1).cast("long").alias("size"),
-            F.lit(None).cast("double").alias("distance"),
-        ),
-        "members_0",
-    )
 
-    # Texts and signatures of the representatives that share a bucket; no others move.
-    ids = scratch.stage(members.select("id").distinct(), "ids")
-    candidates = some.join(ids, "id", "left_semi").select("id", "signature").distinct()
-    known = scratch.stage(keep_keys(texts, ids, "id").join(candidates, "id").distinct(), "known")
-    hub_side = known.select(
-        F.col("id").alias("hub"), F.col("text").alias("hub_text"), F.col("signature").alias("hub_signature")
+    # Buckets of two different sets or more, and their members.
+    banded = first.select("set_key", F.col("id").alias("rep"), "n", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi"), F.count("*").alias("size"))
+    shared = shared.filter("lo < hi").select("key", "size")
+    members = scratch.stage(banded.join(shared, "key").distinct(), "members")
+    score = members.groupBy("set_key").agg(F.sum("size").alias("score"))
+    hubs = members.join(score, "set_key").groupBy("key").agg(F.max(F.struct("score", "set_key", "rep", "n")).alias("hub"))
+    placed = members.drop("size").join(
+        hubs.select("key", F.col("hub.set_key").alias("hub"), F.col("hub.rep").alias("hub_rep"), F.col("hub.n").alias("hub_n")), "key"
     )
+    placed = scratch.stage(placed, "placed")
+
+    # Signatures and sets of the members; those of other documents do not move.
+    ids = scratch.stage(members.select(F.col("rep").alias("id")).distinct(), "ids")
+    asked = scratch.stage(members.select("set_key").distinct(), "asked")
+    signs = scratch.stage(keep_keys(first, ids, "id").select("set_key", "signature").distinct().join(asked, "set_key", "left_semi"), "signs")
+    read = keep_keys(texts, ids, "id").select("text").mapInArrow(_codes(width), "set_key binary, codes binary")
+    known = scratch.stage(read.join(asked, "set_key", "left_semi").distinct(), "known")
 
     # Rows with one doc_id are one document: its classes are linked through the id.
     several = some.groupBy("id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).filter("lo < hi")
     same_id = some.join(several, "id", "left_semi").join(classes, "set_key").select(
         F.col("id").alias("u"), F.col("rep").alias("v")
     )
-    same_id = scratch.stage(same_id, "same_id")
-
-    tested, n_tested, hubs, step = None, 0, 1, 0
-    members = narrow(members, members.count())
-    while True:
-        pairs = _pairs(members, hubs, percent)
-        if tested is not None:
-            pairs = pairs.join(hinted(tested, n_tested), ["hub", "id"], "left_anti")
-        compared = pairs.join(known, "id").join(hub_side, "hub")
-        found = compared.mapInArrow(_confirm(width, percent), "hub long, id long, linked boolean, similarity double")
-        found = found.groupBy("hub", "id").agg(F.max("linked").alias("linked"), F.max("similarity").alias("similarity"))
-        found = scratch.stage(found, f"tested_{step}")
-        n_found = found.count()
-        n_tested += n_found
-        found = narrow(found, n_found)
-        tested = found if tested is None else tested.unionByName(found)
-        edges = tested.filter("linked").select(F.col("hub").alias("u"), F.col("id").alias("v")).unionByName(same_id)
-        links = connected_components(edges, scratch, f"links_{step}")
-        n_links = links.count()
-        open_ = _still_open(members, hubs, hinted(links, n_links), hinted(tested, n_tested))
-        members = scratch.stage(open_, f"members_{step + 1}")
-        scratch.drop(f"members_{step}")
-        step, hubs = step + 1, hubs * HUB_GROWTH
-        n_members = members.count()
-        if not n_members:
-            break
-        members = narrow(members, n_members)
-    scratch.drop("known", "ids")
+
+    found = scratch.stage(_hub_links(placed, signs, known, percent), "found")
+    edges = found.filter("linked").select(F.col("hub_rep").alias("u"), F.col("rep").alias("v")).unionByName(same_id)
+    edges = scratch.stage(edges, "edges")
+    links = connected_components(edges, scratch, "links_0")
+
+    # Buckets whose members are not all in one component yet.
+    roots = links.select(F.col("node").alias("rep"), "component")
+    with_roots = placed.join(roots, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    hub_roots = links.select(F.col("node").alias("hub_rep"), F.col("component").alias("hub_component"))
+    with_roots = with_roots.join(hub_roots, "hub_rep", "left").withColumn("hub_component", F.coalesce("hub_component", "hub_rep"))
+    away = F.when(F.col("set_key") == F.col("hub"), F.lit(0.0)).otherwise(F.col("distance"))
+    near = F.coalesce(F.floor(away * 100 / CELL).cast("int"), F.lit(-1))
+    open_ = (
+        with_roots.join(with_roots.filter("component <> hub_component").select("key").distinct(), "key", "left_semi")
+        .join(found.select("hub", "set_key", "distance"), ["hub", "set_key"], "left")
+        .select("key", "set_key", "rep", "n", "component", (F.col("component") == F.col("hub_component")).alias("main"), near.alias("near"))
+    )
+    open_ = scratch.stage(open_, "open")
+    if not open_.isEmpty():
+        more = _chunk_links(open_, signs, known, percent, scratch)
+        links = connected_components(edges.unionByName(more), scratch, "links_1")
+    n_links = links.count()
+    scratch.drop("members", "placed", "ids", "asked", "signs", "known", "found", "open", "chunks")
 
     roots = hinted(links.select(F.col("node").alias("rep"), "component"), n_links)
     return (
