@@ -268,25 +268,38 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS, names: tuple[str, s
         F.bit_or(_shift("left", F.lit(1).cast("long"), F.pmod("pos", F.lit(_MASK_BITS)))).alias("bits")
     )
     by_doc = word.groupBy("doc").agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"), F.max("word").alias("top")
+        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"), F.max("word").alias("top"),
+        F.sum(F.bit_count("bits")).alias("n_kept"),
     )
     masks = by_doc.select(
-        "doc", F.transform(F.sequence(F.lit(0), F.col("top")), lambda w: F.coalesce(F.col("words")[w], F.lit(0).cast("long"))).alias("mask")
+        "doc", "n_kept", F.transform(F.sequence(F.lit(0), F.col("top")), lambda w: F.coalesce(F.col("words")[w], F.lit(0).cast("long"))).alias("mask")
     )
     ends = links.select("doc").unionAll(links.select(F.col("doc2").alias("doc")))
     counted = ends.groupBy("doc").agg(F.count("*").alias("n_links"))
-    marks = scratch.stage(masks.join(counted, "doc", "full_outer"), "marks")
+    # Documents of one row that keep all their long lines and have no link stay where they are.
+    long_ = docs.select(
+        id_order("doc_id").alias("doc"), F.size(F.filter(F.split("text", "\n"), lambda line: F.length(line) >= MIN_CHARS)).alias("n_long")
+    ).groupBy("doc").agg(F.max("n_long").alias("n_long"), F.count(F.lit(1)).alias("rows"))
+    touched = (F.col("rows") > 1) | (F.col("n_long") != F.coalesce("n_kept", F.lit(0))) | F.col("n_links").isNotNull()
+    marks = long_.join(masks, "doc", "left").join(counted, "doc", "left").filter(touched)
+    marks = scratch.stage(marks.select("doc", "mask", "n_links"), "marks")
 
     def stays(line: Column, i: Column) -> Column:
         bits = F.coalesce(F.get(F.col("__mask"), F.floor(i / _MASK_BITS).cast("int")), F.lit(0).cast("long"))
         bit = _shift("right", bits, F.pmod(i, F.lit(_MASK_BITS))).bitwiseAND(F.lit(1).cast("long"))
         return (F.length(line) < MIN_CHARS) | (bit == 1)
 
-    marked = docs.withColumn("__doc", id_order("doc_id")).join(
-        marks.select(F.col("doc").alias("__doc"), F.col("mask").alias("__mask"), F.col("n_links").alias("__links")), "__doc", "left"
+    keyed = docs.withColumn("__doc", id_order("doc_id"))
+    marks = marks.select(F.col("doc").alias("__doc"), F.col("mask").alias("__mask"), F.col("n_links").alias("__links"))
+    ids = marks.select("__doc")
+    ids = F.broadcast(ids) if ids.count() * 16 <= BROADCAST_KEY_BYTES else ids
+    changed = keyed.join(ids, "__doc", "left_semi").join(marks, "__doc").withColumn("__lines", F.split("text", "\n"))
+    changed = changed.withColumn("__left", F.filter("__lines", stays))
+    same = keyed.join(ids, "__doc", "left_anti").select(
+        "*", F.lit(None).cast(marks.schema["__mask"].dataType).alias("__mask"), F.lit(None).cast("long").alias("__links")
     )
-    split = marked.withColumn("__lines", F.split("text", "\n"))
-    rest = split.withColumn("__left", F.filter("__lines", stays))
+    lines = F.split("text", "\n")
+    rest = changed.unionByName(same.withColumns({"__lines": lines, "__left": lines}))
     named = {c: F.col(c) for c in docs.columns}
     named["text"] = F.when(F.size("__left") < F.size("__lines"), F.array_join("__left", "\n")).otherwise(F.col("text"))
     named[names[0]] = F.coalesce(F.size("__lines"), F.lit(0)).cast("long")
