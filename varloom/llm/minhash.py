@@ -11,13 +11,14 @@ A bucket is worked through in two steps. First, each bucket names one hub, the m
 shares the most bucket places with others (a central one; hardly differing buckets name
 the same), and every member is compared with it: first the signatures, then, of pairs they
 do not rule out, the full sets. Components are taken from these links. Then only buckets
-whose members are in several components go on: their members are cut into cells by
+whose other members are in several components go on: these are cut into cells by
 component (the hub's, or another) and distance to the hub, large cells into chunks of
 ``CHUNK`` members, and chunks meet in pairs, except two of the hub's component and those
 whose distances to the hub differ by more than a link can (Jaccard distance is a metric).
-A task compares two chunks at once: signatures as one matrix, then, where any agree
-enough, intersections of the full sets as one matrix product; it returns a forest of the
-links it finds between different components, never the pairs. So every two members of a
+A task compares the signatures of two chunks as one matrix. What agrees enough goes on to the
+full sets: as pairs where there are no more of them than members, else the two chunks as a
+whole, whose intersections are one matrix product that returns a forest of the links between
+different components, never the pairs. So every two members of a
 bucket are linked by a path, compared or excluded, and what moves is linear in the
 members but for the chunks of a bucket that stays mixed, which meet pairwise.
 A pair at exactly 0.8 shares no bucket with a chance of 5e-6.
@@ -241,13 +242,18 @@ def intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def may_link(one: dict, two: dict, percent: int) -> np.ndarray:
+    """Which members of two chunks are in different components and have signatures that do not rule a link out."""
+    agree = np.stack([(two["signature"] == s).sum(axis=1) for s in one["signature"]]) >= _least(percent)
+    return agree & (one["component"][:, None] != two["component"][None, :])
+
+
 def chunk_links(one: dict, two: dict, percent: int) -> list[tuple[int, int]]:
     """Links between members of different components of two chunks, as a forest; exact.
 
     A chunk has the arrays rep, component and signature, and codes (a list of sets).
     """
-    agree = np.stack([(two["signature"] == s).sum(axis=1) for s in one["signature"]]) >= _least(percent)
-    agree &= one["component"][:, None] != two["component"][None, :]
+    agree = may_link(one, two, percent)
     rows, columns = np.nonzero(agree.any(axis=1))[0], np.nonzero(agree.any(axis=0))[0]
     if not len(rows):
         return []
@@ -273,21 +279,51 @@ def chunk_links(one: dict, two: dict, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _compare_chunks(percent: int):
-    def read(members) -> dict:
-        members = members.values
-        field = lambda name: members.field(members.type.get_field_index(name))
-        return {
-            "rep": field("rep").to_numpy(), "component": field("component").to_numpy(),
-            "signature": _matrix(field("signature")),
-            "codes": [np.frombuffer(c.as_py(), np.uint64) for c in field("codes")],
-        }
+def _chunk(members: pa.ListScalar) -> dict:
+    """A chunk's members as arrays; the sets where they are there."""
+    members = members.values
+    field = lambda name: members.field(members.type.get_field_index(name))
+    out = {"rep": field("rep").to_numpy(), "component": field("component").to_numpy(), "signature": _matrix(field("signature"))}
+    if members.type.get_field_index("codes") >= 0:
+        out["codes"] = [np.frombuffer(c.as_py(), np.uint64) for c in field("codes")]
+    if members.type.get_field_index("set_key") >= 0:
+        out["set_key"] = field("set_key").to_pylist()
+    return out
+
+
+def _meeting_chunks(percent: int):
+    """What may be a new link by the signatures of two chunks: the pairs, if there are no more of them than members.
+
+    Otherwise (near copies that do not link) the two chunks' names alone, to be compared as matrices.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("name", "name2", "list", "list2"))):
+                one, two = _chunk(row[2]), _chunk(row[3])
+                pairs = np.argwhere(may_link(one, two, percent))
+                if len(pairs) > len(one["rep"]) + len(two["rep"]):
+                    rows.append((row[0].as_py(), row[1].as_py(), None, None, None, None))
+                    continue
+                for i, j in pairs:
+                    ends = sorted(((one["set_key"][i], int(one["rep"][i])), (two["set_key"][j], int(two["rep"][j]))))
+                    rows.append((None, None, *ends[0], *ends[1]))
+            columns = list(zip(*rows)) or [()] * 6
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)], names=["name", "name2", "hub", "hub_rep", "set_key", "rep"]
+            )
+
+    return run
 
+
+def _compare_chunks(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             links = []
             for one, two in zip(batch.column(0), batch.column(1)):
-                links += chunk_links(read(one), read(two), percent)
+                links += chunk_links(_chunk(one), _chunk(two), percent)
             u, v = ([link[i] for link in links] for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
@@ -302,11 +338,18 @@ def _hub_links(members: DataFrame, signs: DataFrame, known: DataFrame, percent:
         .select("hub", "hub_rep", "set_key", "rep").distinct()
     )
     hub_signs = signs.select(F.col("set_key").alias("hub"), F.col("signature").alias("hub_signature"))
-    names = "hub binary, hub_rep long, set_key binary, rep long"
-    agreeing = pairs.join(signs, "set_key").join(hub_signs, "hub").mapInArrow(_agreeing(percent), names)
+    agreeing = pairs.join(signs, "set_key").join(hub_signs, "hub").mapInArrow(_agreeing(percent), PAIR)
+    return _confirmed(agreeing, known, percent)
+
+
+PAIR = "hub binary, hub_rep long, set_key binary, rep long"
+
+
+def _confirmed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs with linked and distance, by the full sets."""
     hub_codes = known.select(F.col("set_key").alias("hub"), F.col("codes").alias("hub_codes"))
-    return agreeing.join(known, "set_key").join(hub_codes, "hub").mapInArrow(
-        _confirm(percent), f"{names}, linked boolean, distance double"
+    return pairs.join(known, "set_key").join(hub_codes, "hub").mapInArrow(
+        _confirm(percent), f"{PAIR}, linked boolean, distance double"
     )
 
 
@@ -318,8 +361,8 @@ def _chunk_links(open_: DataFrame, signs: DataFrame, known: DataFrame, percent:
     parts = F.ceil(F.greatest(F.col("members") / CHUNK, 8 * F.col("total") / CHUNK_BYTES))
     dealt = open_.join(sizes.select(*cell, parts.alias("parts")), cell)
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("set_key"), F.col("parts")))
-    chunks = dealt.join(signs, "set_key").join(known, "set_key").groupBy(*cell, "chunk").agg(
-        F.collect_list(F.struct("rep", "component", "signature", "codes")).alias("list")
+    chunks = dealt.join(signs, "set_key").groupBy(*cell, "chunk").agg(
+        F.collect_list(F.struct("set_key", "rep", "component", "signature")).alias("list")
     )
     chunks = scratch.stage(chunks.withColumn("name", F.xxhash64(*cell, "chunk", F.lit(SEED))), "chunks")
     places = chunks.select("key", "main", "near", "name")
@@ -329,14 +372,30 @@ def _chunk_links(open_: DataFrame, signs: DataFrame, known: DataFrame, percent:
     meet = (F.col("name") <= F.col("name2")) & ~(F.col("main") & F.col("main2")) & (
         (F.col("near") < 0) | (F.col("near2") < 0) | (F.abs(F.col("near") - F.col("near2")) < apart)
     )
-    pairs = places.join(other, "key").filter(meet).select("name", "name2")
-    lists = chunks.select("name", "list")
-    both = pairs.join(lists, "name").join(lists.select(F.col("name").alias("name2"), F.col("list").alias("list2")), "name2")
+
+    def paired(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+        return pairs.join(lists, "name").join(lists.select(F.col("name").alias("name2"), F.col("list").alias("list2")), "name2")
+
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(batch)
     spark.conf.set(batch, str(CHUNK_ROWS))  # a row holds two chunks
     try:
-        return scratch.stage(both.select("list", "list2").mapInArrow(_compare_chunks(percent), "u long, v long"), "chunk_links")
+        pairs = paired(places.join(other, "key").filter(meet).select("name", "name2"), chunks.select("name", "list"))
+        meeting = scratch.stage(pairs.mapInArrow(_meeting_chunks(percent), f"name long, name2 long, {PAIR}"), "meeting")
+        # Sets move for what may be a new link only.
+        few = meeting.filter(F.col("name").isNull()).select("hub", "hub_rep", "set_key", "rep").distinct()
+        linked = _confirmed(few, known, percent).filter("linked").select(F.col("hub_rep").alias("u"), F.col("rep").alias("v"))
+        linked = scratch.stage(linked, "few_links")
+        meeting = meeting.filter(F.col("name").isNotNull()).select("name", "name2")
+        if meeting.isEmpty():
+            return linked
+        names = meeting.select("name").union(meeting.select(F.col("name2").alias("name"))).distinct()
+        asked = chunks.join(names, "name", "left_semi").select("name", F.explode("list").alias("m")).select("name", "m.*")
+        full = asked.join(known, "set_key").groupBy("name").agg(
+            F.collect_list(F.struct("rep", "component", "signature", "codes")).alias("list")
+        )
+        both = paired(meeting, scratch.stage(full, "chunk_sets")).select("list", "list2")
+        return linked.unionByName(scratch.stage(both.mapInArrow(_compare_chunks(percent), "u long, v long"), "chunk_links"))
     finally:
         spark.conf.set(batch, before)
 
@@ -357,8 +416,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     # Buckets of two different sets or more, and their members.
     banded = first.select("set_key", F.col("id").alias("rep"), "n", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi"), F.count("*").alias("size"))
-    shared = shared.filter("lo < hi").select("key", "size")
+    h = F.xxhash64("set_key")
+    content = ["lo", "hi", "size", "low_sum", "high_sum"]
+    shared = banded.groupBy("key").agg(
+        F.min("set_key").alias("lo"), F.max("set_key").alias("hi"), F.count("*").alias("size"),
+        F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low_sum"), F.sum(F.shiftrightunsigned(h, 32)).alias("high_sum"),
+    )
+    # Near copies meet in many bands: of the buckets with the same members one is worked through.
+    shared = shared.filter("lo < hi").groupBy(*content).agg(F.min("key").alias("key"), F.count("*").alias("times"))
+    shared = shared.select("key", (F.col("size") * F.col("times")).alias("size"))
     members = scratch.stage(banded.join(shared, "key").distinct(), "members")
     score = members.groupBy("set_key").agg(F.sum("size").alias("score"))
     hubs = members.join(score, "set_key").groupBy("key").agg(F.max(F.struct("score", "set_key", "rep", "n")).alias("hub"))
@@ -390,10 +456,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     with_roots = placed.join(roots, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     hub_roots = links.select(F.col("node").alias("hub_rep"), F.col("component").alias("hub_component"))
     with_roots = with_roots.join(hub_roots, "hub_rep", "left").withColumn("hub_component", F.coalesce("hub_component", "hub_rep"))
-    away = F.when(F.col("set_key") == F.col("hub"), F.lit(0.0)).otherwise(F.col("distance"))
-    near = F.coalesce(F.floor(away * 100 / CELL).cast("int"), F.lit(-1))
+    near = F.coalesce(F.floor(F.col("distance") * 100 / CELL).cast("int"), F.lit(-1))
+    # The hub has met every member; what is left is the others among themselves.
+    rest = with_roots.filter(F.col("set_key") != F.col("hub"))
+    mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     open_ = (
-        with_roots.join(with_roots.filter("component <> hub_component").select("key").distinct(), "key", "left_semi")
+        rest.join(mixed.select("key"), "key", "left_semi")
         .join(found.select("hub", "set_key", "distance"), ["hub", "set_key"], "left")
         .select("key", "set_key", "rep", "n", "component", (F.col("component") == F.col("hub_component")).alias("main"), near.alias("near"))
     )
@@ -402,7 +470,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         more = _chunk_links(open_, signs, known, percent, scratch)
         links = connected_components(edges.unionByName(more), scratch, "links_1")
     n_links = links.count()
-    scratch.drop("members", "placed", "ids", "asked", "signs", "known", "found", "open", "chunks")
+    scratch.drop("members", "placed", "ids", "asked", "signs", "known", "found", "open", "chunks", "meeting", "chunk_sets")
 
     roots = hinted(links.select(F.col("node").alias("rep"), "component"), n_links)
     return (
