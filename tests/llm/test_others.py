@@ -303,6 +303,35 @@ def test_bradley_terry_orders_pairs():
     assert w[0] > 3 * abs(w[1]) and w[0] > 3 * abs(w[2])
 
 
+def test_bradley_terry_minimises_the_loss_of_all_pairs():
+    rng = np.random.default_rng(2)
+    good, bad = rng.standard_normal((90, 3)) + [1, 0.5, 0], rng.standard_normal((40, 3))
+    w = quality.bradley_terry(good, bad)
+    d = (good[:, None, :] - bad[None, :, :]).reshape(-1, 3)
+    each = quality.PAIRS_EACH * (len(good) + len(bad)) / len(d)
+    miss = 1 / (1 + np.exp(d @ w))
+    assert np.abs(w - each * (d.T @ miss)).max() < 1e-3 * each * np.abs(d).sum()
+
+
+def test_quality_is_fitted_on_all_labelled_rows(spark):
+    """Long texts and more of a class than any bound count: the mean is that of every row that may be learned from."""
+    texts = {i: ("plain words here. " * (1 + i % 5) if i % 2 else "| 77 # " * (1 + i % 7)) for i in range(6000)}
+    texts |= {6000: "a long good text. " * 2000, 6001: "9 | 9 " * 9000, 6002: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2 if i != 6000 else 1, 0) for i in texts], "doc_id long, quality int, toxic int")
+    model = quality.fit_quality(docs, labels)
+    seen = [i for i in texts if zlib.crc32(str(i).encode()) % 4 != 2]
+    x = np.array([quality.features(texts[i]) for i in seen])
+    y = np.array([i % 2 if i != 6000 else 1 for i in seen])
+    assert model.mean == pytest.approx(x.mean(axis=0), abs=1e-8) and model.scale == pytest.approx(np.maximum(x.std(axis=0), 1e-6), abs=1e-8)
+    same = quality.fit({k: [texts[i] for i in seen if (i % 2 if i != 6000 else 1) == k] for k in (0, 1)})
+    assert model.weights == pytest.approx(same.weights, abs=1e-6) and model.at == pytest.approx(same.at, abs=1e-6)
+    plain = quality.score_documents(docs, model).select("doc_id", "score")
+    by_shape = quality.score_documents(quality.shaped(docs), model).select("doc_id", "score")
+    assert dict(plain.collect()) == dict(by_shape.collect())
+    assert np.mean((model.score(x) >= 0.7) == (y == 1)) > 0.99
+
+
 def test_windows_cover_the_text():
     for raw in (b"", b"a", b"some words " * 30, b"x" * 1000, b"x" * 400 + b" y " * 50):
         assert b"".join(toxicity.windows(raw)) == raw

@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents, the only rows a classifier here is fitted on."""
+"""The labelled documents that a classifier here may be fitted on, all or a bounded sample."""
 
 from __future__ import annotations
 
@@ -11,6 +11,19 @@ def crc_remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")), F.lit(modulus))
 
 
+def labelled_ids(labels: DataFrame, column: str, modulus: int, held_out: int) -> DataFrame:
+    """doc_id and label (0 or 1) of all rows but those whose crc remainder is ``held_out``.
+
+    Null labels take no part; a doc_id with both labels counts as the larger one.
+    """
+    return (
+        labels.filter(crc_remainder(F.col("doc_id"), modulus) != held_out)
+        .filter(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull())
+        .groupBy("doc_id")
+        .agg(F.max(column).cast("int").alias("label"))
+    )
+
+
 def sample(
     docs: DataFrame, labels: DataFrame, column: str, modulus: int, held_out: int,
     per_class: dict[int, int], max_chars: int,
@@ -22,12 +35,7 @@ def sample(
     doc_id, so it is the same on every run, and it is bounded by its parameters:
     its ids are broadcast, its texts collected.
     """
-    ids = (
-        labels.filter(crc_remainder(F.col("doc_id"), modulus) != held_out)
-        .filter(F.col(column).isin(*per_class) & F.col("doc_id").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.max(column).alias("label"))
-    )
+    ids = labelled_ids(labels, column, modulus, held_out)
     found: dict[int, list[str]] = {}
     for label, n in per_class.items():
         first = ids.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)

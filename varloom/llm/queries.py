@@ -20,7 +20,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = quality.shaped(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     return quality.score_documents(docs, model).select(
         "doc_id", (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
