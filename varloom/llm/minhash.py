@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import Scratch, hinted, id_order, keep_keys, text_slices, unused
+from varloom.llm.common import NARROW_ROWS, Scratch, hinted, id_order, keep_keys, text_slices, unused
 from varloom.llm.components import connected_components
 
 ROWS, BANDS = 6, 40
@@ -330,7 +330,7 @@ def _compare_chunks(percent: int):
     return run
 
 
-def _hub_links(members: DataFrame, signs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _hub_links(members: DataFrame, signs: DataFrame, known: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """hub, hub_rep, set_key, rep, linked, distance of every member that its bucket's hub's signature does not rule out."""
     small, large = F.least("n", "hub_n"), F.greatest("n", "hub_n")
     pairs = (
@@ -339,16 +339,20 @@ def _hub_links(members: DataFrame, signs: DataFrame, known: DataFrame, percent:
     )
     hub_signs = signs.select(F.col("set_key").alias("hub"), F.col("signature").alias("hub_signature"))
     agreeing = pairs.join(signs, "set_key").join(hub_signs, "hub").mapInArrow(_agreeing(percent), PAIR)
-    return _confirmed(agreeing, known, percent)
+    return _confirmed(scratch.stage(agreeing, "agreeing"), known, percent)
 
 
 PAIR = "hub binary, hub_rep long, set_key binary, rep long"
 
 
 def _confirmed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs with linked and distance, by the full sets."""
-    hub_codes = known.select(F.col("set_key").alias("hub"), F.col("codes").alias("hub_codes"))
-    return pairs.join(known, "set_key").join(hub_codes, "hub").mapInArrow(
+    """The pairs (a written table) with linked and distance, by the full sets; sets of no pair do not move."""
+    n = pairs.count()
+    sides = [pairs.select(F.col(c).alias("set_key")).distinct() for c in ("set_key", "hub")]
+    # Few pairs go to where the sets are.
+    codes = known if n <= NARROW_ROWS else keep_keys(known, sides[0], "set_key")
+    hub_codes = keep_keys(known, sides[1], "set_key").select(F.col("set_key").alias("hub"), F.col("codes").alias("hub_codes"))
+    return hinted(pairs, n).join(codes, "set_key").join(hub_codes, "hub").mapInArrow(
         _confirm(percent), f"{PAIR}, linked boolean, distance double"
     )
 
@@ -391,7 +395,8 @@ def _chunk_links(open_: DataFrame, signs: DataFrame, known: DataFrame, percent:
             return linked
         names = meeting.select("name").union(meeting.select(F.col("name2").alias("name"))).distinct()
         asked = chunks.join(names, "name", "left_semi").select("name", F.explode("list").alias("m")).select("name", "m.*")
-        full = asked.join(known, "set_key").groupBy("name").agg(
+        sets = keep_keys(known, asked.select("set_key").distinct(), "set_key")
+        full = asked.join(sets, "set_key").groupBy("name").agg(
             F.collect_list(F.struct("rep", "component", "signature", "codes")).alias("list")
         )
         both = paired(meeting, scratch.stage(full, "chunk_sets")).select("list", "list2")
@@ -409,23 +414,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         texts.mapInArrow(_sketch(width), "id long, n long, set_key binary, bands array<long>, signature binary"),
         "sketches",
     )
-    some = sketches.filter("n > 0")
+    sizes = scratch.stage(sketches.select("id", "n", "set_key"), "sizes")
+    some = sizes.filter("n > 0")
     classes = scratch.stage(some.groupBy("set_key").agg(F.min("id").alias("rep")), "classes")
     reps = classes.select(F.col("set_key").alias("rep_key"), "rep")
-    first = some.join(reps, (F.col("set_key") == F.col("rep_key")) & (F.col("id") == F.col("rep")), "left_semi")
+    first = sketches.filter("n > 0").join(reps, (F.col("set_key") == F.col("rep_key")) & (F.col("id") == F.col("rep")), "left_semi")
+    first = scratch.stage(first, "first")
+    scratch.drop("sketches")
 
-    # Buckets of two different sets or more, and their members.
-    banded = first.select("set_key", F.col("id").alias("rep"), "n", F.explode("bands").alias("key"))
+    # Buckets of two different sets or more, and their members. A row a band: a set goes by a hash of its key alone;
+    # what it is, only the members of these buckets are told. Sets of one hash would be members of each other's buckets.
     h = F.xxhash64("set_key")
+    named = first.select(h.alias("h"), "set_key", F.col("id").alias("rep"), "n").distinct()
+    banded = first.select(h.alias("h"), F.explode("bands").alias("key"))
+    h = F.col("h")
     content = ["lo", "hi", "size", "low_sum", "high_sum"]
     shared = banded.groupBy("key").agg(
-        F.min("set_key").alias("lo"), F.max("set_key").alias("hi"), F.count("*").alias("size"),
+        F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("size"),
         F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low_sum"), F.sum(F.shiftrightunsigned(h, 32)).alias("high_sum"),
     )
     # Near copies meet in many bands: of the buckets with the same members one is worked through.
     shared = shared.filter("lo < hi").groupBy(*content).agg(F.min("key").alias("key"), F.count("*").alias("times"))
-    shared = shared.select("key", (F.col("size") * F.col("times")).alias("size"))
-    members = scratch.stage(banded.join(shared, "key").distinct(), "members")
+    shared = scratch.stage(shared.select("key", (F.col("size") * F.col("times")).alias("size")), "shared")
+    places = keep_keys(banded, shared.select("key"), "key").join(shared, "key")
+    members = scratch.stage(places.join(named, "h").drop("h").distinct(), "members")
     score = members.groupBy("set_key").agg(F.sum("size").alias("score"))
     hubs = members.join(score, "set_key").groupBy("key").agg(F.max(F.struct("score", "set_key", "rep", "n")).alias("hub"))
     placed = members.drop("size").join(
@@ -446,7 +458,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         F.col("id").alias("u"), F.col("rep").alias("v")
     )
 
-    found = scratch.stage(_hub_links(placed, signs, known, percent), "found")
+    found = scratch.stage(_hub_links(placed, signs, known, percent, scratch), "found")
     edges = found.filter("linked").select(F.col("hub_rep").alias("u"), F.col("rep").alias("v")).unionByName(same_id)
     edges = scratch.stage(edges, "edges")
     links = connected_components(edges, scratch, "links_0")
@@ -470,12 +482,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         more = _chunk_links(open_, signs, known, percent, scratch)
         links = connected_components(edges.unionByName(more), scratch, "links_1")
     n_links = links.count()
-    scratch.drop("members", "placed", "ids", "asked", "signs", "known", "found", "open", "chunks", "meeting", "chunk_sets")
+    scratch.drop("first", "shared", "members", "placed", "ids", "asked", "signs", "known", "agreeing", "found", "open", "chunks", "meeting", "chunk_sets")
 
     roots = hinted(links.select(F.col("node").alias("rep"), "component"), n_links)
     return (
-        sketches.select("id", "n", "set_key")
-        .join(classes, "set_key", "left")
+        sizes.join(classes, "set_key", "left")
         .join(roots, "rep", "left")
         .withColumn("root", F.coalesce("component", "rep", "id"))
         .select(
