@@ -1,10 +1,11 @@
 """Warm-started epochs, the best epoch's model, and successive halving."""
 
 import pytest
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from varloom.operators import epochs, fit
+from varloom.operators import descent, epochs, fit
 from varloom.operators.metrics import best_epoch
 
 
@@ -67,6 +68,32 @@ def test_halving_stops_weak_trials_and_replays(parts):
     assert alone.weights.size == result.model.weights.size
 
 
+@pytest.mark.parametrize("hidden", [(), (4, 3)])
+def test_descent_on_sparse_rows_equals_sparks_own(spark, hidden):
+    """One partition of whole blocks: Spark's mean over blocks is the mean over rows there."""
+    rows = [(Vectors.sparse(6, [i % 3, 3 + i % 2], [1.0, 2.0]) if i % 5 else Vectors.dense([i % 4, 0, 1, 0, 0, 2]), float(i % 3 == 0)) for i in range(256)]
+    train = spark.createDataFrame(rows, ["features", "label"]).coalesce(1)
+    estimator = fit.perceptron(n=3, hidden=hidden, solver="gd", max_iter=5).setStepSize(0.3)
+    own = estimator.fit(train)
+    found = descent.descend(train.repartition(3), {0: estimator, 1: estimator.copy({estimator.stepSize: 0.1})}, {0: None, 1: None}, 5)
+    assert found[0].weights.toArray() == pytest.approx(own.weights.toArray(), abs=1e-9)
+    assert found[1].weights.toArray() != pytest.approx(own.weights.toArray(), abs=1e-3)
+    more = descent.descend(train, {0: estimator}, {0: found[0]}, 2)[0]
+    again = estimator.copy({estimator.maxIter: 2, estimator.initialWeights: own.weights}).fit(train)
+    assert more.weights.toArray() == pytest.approx(again.weights.toArray(), abs=1e-9)
+
+
+def test_halving_keeps_no_dense_rows(spark, parts, monkeypatch):
+    """Spark's own fit sees no training row: it would keep each as a dense copy."""
+    train, validation = parts
+    fitted = []
+    real = MultilayerPerceptronClassifier.fit
+    monkeypatch.setattr(MultilayerPerceptronClassifier, "fit", lambda self, df, *a: fitted.append(df.count()) or real(self, df, *a))
+    estimator = small(solver="gd")
+    epochs.successive_halving(train, validation, estimator, keep=2, param_maps=[{estimator.stepSize: s} for s in (0.5, 0.1)])
+    assert fitted and set(fitted) == {1}
+
+
 def test_a_step_size_is_drawn_for_perceptrons():
     est = fit.perceptron(solver="gd")
     maps = fit.random_param_maps(est, trials=40)

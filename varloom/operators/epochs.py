@@ -8,7 +8,9 @@ row (trial, epoch, loss, accuracy) is noted; the best epoch's model is kept. Wit
 cannot continue.
 
 Successive halving gives every trial few epochs, keeps the better part, and gives those
-more, so weak draws stop early. All of a rung's models are scored in one pass over the
+more, so weak draws stop early. A rung's trials of gradient descent (solver ``gd``) are
+fitted together on sparse rows (:mod:`varloom.operators.descent`), others each by Spark's
+own fit, which holds dense copies of the rows. All of a rung's models are scored in one pass over the
 validation rows; the metrics table alone tells who went on (:func:`replay`).
 
 The driver holds the trials' weights between rungs, and of the training data nothing.
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from varloom.constants import SEARCH_TRIALS, SPLIT_SEED
+from varloom.operators.descent import descend
 from varloom.operators.fit import perceptron, random_param_maps, validation_scores
 from varloom.operators.metrics import best_epoch, report
 
@@ -127,7 +130,10 @@ def successive_halving(
     maps = list(param_maps) if param_maps is not None else random_param_maps(estimator, trials, seed)
     models: dict[int, Model | None] = {t: None for t in range(len(maps))}
     rows, rung, done = [], 0, 0
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    nets = {t: estimator.copy(m) for t, m in enumerate(maps)}
+    by_descent = all(net.getSolver() == "gd" for net in nets.values())
+    if not by_descent:
+        train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         while True:
             epoch = first_epochs * keep**rung
@@ -135,19 +141,22 @@ def successive_halving(
             def fit(trial: int, steps: int = epoch - done) -> Model:
                 return _continued(estimator, steps, models[trial], maps[trial]).fit(train)
 
-            with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-                models = dict(zip(models, pool.map(fit, models)))
+            if by_descent:
+                models = descend(train, {t: nets[t] for t in models}, models, epoch - done)
+            else:
+                with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+                    models = dict(zip(models, pool.map(fit, models)))
             losses = _losses(models, validation)
             for t, (loss, accuracy) in losses.items():
-                own = estimator.copy(maps[t])
-                rows.append((t, rung, epoch, loss, accuracy, own.getStepSize(), ",".join(map(str, own.getLayers()))))
+                rows.append((t, rung, epoch, loss, accuracy, nets[t].getStepSize(), ",".join(map(str, nets[t].getLayers()))))
             if len(models) == 1:
                 break
             ranked = sorted(models, key=lambda t: (losses[t][0] is None, losses[t][0], t))
             models = {t: models[t] for t in sorted(ranked[: survivors(len(models), keep)])}
             rung, done = rung + 1, epoch
     finally:
-        train.unpersist()
+        if not by_descent:
+            train.unpersist()
     survivor, model = next(iter(models.items()))
     return HalvingResult(train.sparkSession.createDataFrame(rows, HALVING_SCHEMA), survivor, model)
 
