@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -200,6 +201,22 @@ def test_lines_of_a_template_meet_by_place(spark, monkeypatch):
     assert sum(met) < count * (count - 1) // 2 // 10, (met, len(want))
 
 
+def test_pairs_of_each_kind_are_written_on_their_own(spark, monkeypatch):
+    """No plan holds the joins of all kinds: their shuffles would run at a time."""
+    head, tail = "one template of sixteen segments, all the same but for the one at ".ljust(66, "."), " and so on".ljust(58, ".")
+    joins, real = {}, Scratch.stage
+
+    def stage(self, df, name):
+        joins[name] = len(re.findall(r"\bJoin ", df._jdf.queryExecution().optimizedPlan().toString()))
+        return real(self, df, name)
+
+    monkeypatch.setattr(lines, "HEAVY", 20)
+    monkeypatch.setattr(Scratch, "stage", stage)
+    lines.line_links(documents(spark, [f"{head}{7 * i:04d}{tail}" for i in range(100)]), 1, Scratch(spark, "t"))
+    assert joins["pairs"] == 0
+    assert all(0 < joins[name] <= 7 for name in ("light", "deep_light", "deep_changed", "deep_whole")), joins
+
+
 def test_lines_use_no_python(spark):
     plan = lines.dedup_lines(documents(spark, corpus()))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))

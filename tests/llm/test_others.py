@@ -9,13 +9,28 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varloom.llm import chat, decontam, mixing, neighbours, quality, queries, toxicity, warc
+from varloom.llm import chat, common, decontam, mixing, neighbours, quality, queries, toxicity, warc
 
 from .helpers import DOC, documents, prose, rows_of
 
 SF = "/root/testdata/sf0.001"
 
 
+# Scratch tables
+
+
+def test_stage_collects_the_garbage_of_a_grown_heap(spark, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = [b for b in beans if not any(word in b.getName() for word in ("Young", "Copy", "Scavenge", "Concurrent"))]
+    scratch, counts = common.Scratch(spark, "t"), []
+    for share in (1.0, 0.0):  # a heap that may grow to its limit, and one that is past its share
+        monkeypatch.setattr(common, "HEAP_SHARE", share)
+        before = sum(b.getCollectionCount() for b in full)
+        assert scratch.stage(spark.range(9), "some").count() == 9
+        counts.append(sum(b.getCollectionCount() for b in full) - before)
+    assert counts[0] == 0 and counts[1] > 0
+
+
 # Decontamination
 
 

@@ -7,6 +7,7 @@ instead of recomputing, and every later branch of a plan starts from a file.
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterable, Iterator
 
@@ -25,6 +26,8 @@ BROADCAST_KEY_BYTES = 32 << 20
 NARROW_ROWS = 100_000
 #: Bytes of text that a Python worker takes on at a time, whatever the rows of a batch.
 SLICE_BYTES = 4 << 20
+#: Share of the driver's largest heap that steps may fill between them without a collection.
+HEAP_SHARE = 0.4
 
 
 def importable(spark: SparkSession) -> None:
@@ -39,6 +42,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> bool:
+    """Collect the driver's garbage where its heap has grown past ``HEAP_SHARE`` of its limit; whether it did.
+
+    A job of many steps leaves plans, metrics, task results and the handles of shuffles and broadcasts behind. The
+    driver's heap grows to its limit before it collects all of them, and stays that large; Spark deletes the shuffle
+    files and broadcasts only then.
+    """
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() <= HEAP_SHARE * heap.maxMemory():
+        return False
+    gc.collect()  # a DataFrame that Python still holds keeps its plan in the JVM
+    spark._jvm.java.lang.System.gc()
+    return True
+
+
 class Scratch:
     """Scratch tables of one run; ``drop`` removes those no later step reads."""
 
@@ -53,6 +71,7 @@ class Scratch:
         """Write ``df`` as parquet once and return the written table."""
         path = self.path(name)
         df.write.mode("overwrite").parquet(path)
+        release(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

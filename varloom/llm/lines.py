@@ -197,10 +197,11 @@ def _deep_pairs(same: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame
     changed = _each_place(crowd, lambda j, rest: F.xxhash64(j, "key", rest))
     whole = crowd.select(F.xxhash64(F.lit(-1), "key", "part").alias("key"), "doc", "pos")
     shorter = _each_place(crowd_more, lambda j, rest: F.xxhash64(F.lit(-1), F.col("key"), rest))
+    # One after the other: as one plan their shuffles run at a time, and the driver holds the state of all of them.
     return (
-        _meet(light, light.unionByName(light_more))
-        .unionByName(_meet(changed, changed))
-        .unionByName(_meet(whole, shorter))
+        scratch.stage(_meet(light, light.unionByName(light_more)), "deep_light")
+        .unionByName(scratch.stage(_meet(changed, changed), "deep_changed"))
+        .unionByName(scratch.stage(_meet(whole, shorter), "deep_whole"))
     )
 
 
@@ -232,9 +233,10 @@ def line_links(docs: DataFrame, max_edits: int, scratch: Scratch) -> tuple[DataF
             .select("d.key", "d.part", "doc", "pos")
             for n in (0, 1)
         )
-        light = _meet(held.join(many, "key", "left_anti"), asked.join(many, "key", "left_anti"))
+        light = scratch.stage(_meet(held.join(many, "key", "left_anti"), asked.join(many, "key", "left_anti")), "light")
         pairs = light.unionByName(_deep_pairs(same, more, scratch)).distinct()
     pairs = scratch.stage(pairs, "pairs")
+    scratch.drop("light", "deep_light", "deep_changed", "deep_whole")
     # Texts of the lines in pairs only: their documents are few, the others are not read again.
     places = scratch.stage(pairs.select("doc", "pos").union(pairs.select("doc2", "pos2")).distinct(), "places")
     texts = _texts_at(docs, places, scratch, "places")
